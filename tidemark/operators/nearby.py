@@ -1,6 +1,6 @@
 """Points near other points, and the regions that contain points.
 
-Locations are made distinct, counted in grid cells, and the cells rolled up to a tree: a node with more than
+Locations are made distinct and counted in grid cells, and the cells rolled up to a tree: a node with more than
 `cap` locations is split in four. Its leaves, with the true bounds of their points, form the upper bounding-volume
 hierarchy; it is small by construction and goes to every executor. Locations travel to the leaf they lie in,
 search discs and triangles to all leaves that they touch. Each leaf builds its own hierarchy and tests exactly.
@@ -59,28 +59,51 @@ class Partition:
         return out
 
 
+COARSE = 12  # levels that are counted for all points; finer ones only where a coarse cell holds too many
+
+
+def _rolled(cells: DataFrame, base: int, top: int) -> DataFrame:
+    """Counts and bounds of the nodes of levels top..base from the cells of level base."""
+    up = lambda c: F.expr(f"shiftright({c}, {base} - level)")
+    return (
+        cells.withColumn("level", F.explode(F.sequence(F.lit(top), F.lit(base))))
+        .groupBy("level", up("cx").alias("ix"), up("cy").alias("iy"))
+        .agg(F.sum("n").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    )
+
+
 def partition(sites: DataFrame, cap: int = 6_000) -> Partition:
-    """The upper hierarchy of sites (lon, lat). At most about 4 x 18 x 16,384 nodes, as cap grows with the rows."""
+    """The upper hierarchy of sites (lon, lat).
+
+    The driver gets the nodes with more than cap sites and their children: as cap grows with the rows, at most about
+    4 x 18 x 16,384 of them.
+    """
     side = 1 << BASE
     cell = lambda c, lo, width: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor((F.col(c) - lo) / width * side))).cast("long")
-    cells = (
-        sites.groupBy(cell("lon", -180.0, 360.0).alias("cx"), cell("lat", -90.0, 180.0).alias("cy"))
-        .agg(F.count("*").alias("n"), F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"))
-    )
-    cells = checkpointed(cells)
-    total = cells.agg(F.sum("n")).first()[0] or 0
+    placed = sites.select("lon", "lat", cell("lon", -180.0, 360.0).alias("cx"), cell("lat", -90.0, 180.0).alias("cy"))
+    stats = (F.count("*").alias("n"), F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"))
+    shift = BASE - COARSE
+    coarse = checkpointed(placed.groupBy(F.shiftright("cx", shift).alias("cx"), F.shiftright("cy", shift).alias("cy")).agg(*stats))
+    total = coarse.agg(F.sum("n")).first()[0] or 0
     cap = max(cap, total // MAX_NODES)
-    up = lambda c: F.expr(f"shiftright({c}, {BASE} - level)")
-    nodes = (
-        cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(BASE))))
-        .groupBy("level", up("cx").alias("ix"), up("cy").alias("iy"))
-        .agg(F.sum("n").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    )
-    big = nodes.where((F.col("n") > cap) & (F.col("level") < BASE)).select((F.col("level") + 1).alias("level"), F.col("ix").alias("px"), F.col("iy").alias("py"))
-    child = nodes.withColumn("px", F.expr("shiftright(ix, 1)")).withColumn("py", F.expr("shiftright(iy, 1)"))
-    leaves = child.join(big, ["level", "px", "py"]).select(child.columns[:8]).unionByName(nodes.where("level = 0"))
-    leaves = leaves.where((F.col("n") <= cap) | (F.col("level") == BASE))
-    got = leaves.toPandas()
+    columns = ["level", "ix", "iy", "n", "x0", "y0", "x1", "y1"]
+
+    def nodes_of(cells: DataFrame, base: int, top: int) -> pd.DataFrame:
+        nodes = _rolled(cells, base, top)
+        big = nodes.where((F.col("n") > cap) & (F.col("level") < base)).select((F.col("level") + 1).alias("level"), F.col("ix").alias("px"), F.col("iy").alias("py"))
+        kids = nodes.withColumns({"px": F.expr("shiftright(ix, 1)"), "py": F.expr("shiftright(iy, 1)")}).join(big, ["level", "px", "py"])
+        return kids.select(columns).unionByName(nodes.where(F.col("level") == top)).toPandas().astype({c: "int64" for c in columns[:4]})
+
+    got = nodes_of(coarse, COARSE, 0)
+    deep = got[(got["level"] == COARSE) & (got["n"] > cap)]
+    leaves = [got[(got["n"] <= cap)]]
+    if len(deep):
+        # at most total / cap <= 16,384 cells
+        crowded = F.broadcast(sites.sparkSession.createDataFrame(deep[["ix", "iy"]].rename(columns={"ix": "kx", "iy": "ky"}), "kx long, ky long"))
+        fine = placed.withColumns({"kx": F.shiftright("cx", shift), "ky": F.shiftright("cy", shift)}).join(crowded, ["kx", "ky"], "left_semi").groupBy("cx", "cy").agg(*stats)
+        below = nodes_of(checkpointed(fine), BASE, COARSE)
+        leaves.append(below[(below["level"] > COARSE) & ((below["n"] <= cap) | (below["level"] == BASE))])
+    got = pd.concat(leaves)
     return Partition(*(got[c].to_numpy(dtype=np.int64) for c in ("level", "ix", "iy")), got[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float))
 
 
@@ -102,7 +125,10 @@ def metres(lon1, lat1, lon2, lat2):
 
 
 def near_sites(sites: DataFrame, within_m: float, cap: int = 6_000) -> DataFrame:
-    """(lon_a, lat_a, lon_b, lat_b, metres): pairs of distinct locations, a before b by lon and lat."""
+    """(lon_a, lat_a, id_a, lon_b, lat_b, id_b, metres): pairs of distinct locations, a before b by lon and lat.
+
+    sites: lon, lat and id, a long that is passed on.
+    """
     tree = sites.sparkSession.sparkContext.broadcast(partition(sites, cap))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,25 +139,25 @@ def near_sites(sites: DataFrame, within_m: float, cap: int = 6_000) -> DataFrame
             q, leaf = t.bvh.query(_spread(lon, lat, within_m))
             away = leaf != home[q]
             rows = np.concatenate([np.arange(len(lon)), q[away]])
-            yield pd.DataFrame({"leaf": np.concatenate([home, leaf[away]]), "home": np.arange(len(rows)) < len(lon), "lon": lon[rows], "lat": lat[rows]})
+            yield pd.DataFrame({"leaf": np.concatenate([home, leaf[away]]), "home": np.arange(len(rows)) < len(lon), "lon": lon[rows], "lat": lat[rows], "id": pdf["id"].array.take(rows)})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["home"]]
         hx, hy = own["lon"].to_numpy(), own["lat"].to_numpy()
-        bvh, out = Bvh(np.stack([hx, hy, hx, hy], axis=1)), []
+        bvh, out, hid, ids = Bvh(np.stack([hx, hy, hx, hy], axis=1)), [], own["id"].array, pdf["id"].array
         x, y = pdf["lon"].to_numpy(), pdf["lat"].to_numpy()
         for a in range(0, len(x), 20_000):
-            qx, qy = x[a : a + 20_000], y[a : a + 20_000]
+            qx, qy, qid = x[a : a + 20_000], y[a : a + 20_000], ids[a : a + 20_000]
             q, i = bvh.query(_spread(qx, qy, within_m))
             first = (hx[i] < qx[q]) | (hx[i] == qx[q]) & (hy[i] < qy[q])
             q, i = q[first], i[first]
             d = metres(hx[i], hy[i], qx[q], qy[q])
             ok = d <= within_m
-            out.append(pd.DataFrame({"lon_a": hx[i[ok]], "lat_a": hy[i[ok]], "lon_b": qx[q[ok]], "lat_b": qy[q[ok]], "metres": d[ok]}))
+            out.append(pd.DataFrame({"lon_a": hx[i[ok]], "lat_a": hy[i[ok]], "id_a": hid.take(i[ok]), "lon_b": qx[q[ok]], "lat_b": qy[q[ok]], "id_b": qid.take(q[ok]), "metres": d[ok]}))
         return pd.concat(out)
 
-    copies = sites.select("lon", "lat").mapInPandas(spread, "leaf long, home boolean, lon double, lat double")
-    return copies.groupBy("leaf").applyInPandas(join, "lon_a double, lat_a double, lon_b double, lat_b double, metres double")
+    copies = sites.select("lon", "lat", "id").mapInPandas(spread, "leaf long, home boolean, lon double, lat double, id long")
+    return copies.groupBy("leaf").applyInPandas(join, "lon_a double, lat_a double, id_a long, lon_b double, lat_b double, id_b long, metres double")
 
 
 def _located(points: DataFrame, point_id: str, lon: str, lat: str) -> DataFrame:
@@ -142,22 +168,27 @@ def _located(points: DataFrame, point_id: str, lon: str, lat: str) -> DataFrame:
 def near_pairs(points: DataFrame, point_id: str, lon: str, lat: str, within_m: float, cap: int = 6_000) -> DataFrame:
     """(left_id, right_id, metres): every pair of points at most within_m apart, the smaller id first.
 
-    Rows without id or with a location that is null, NaN or outside -180..180 / -90..90 have no neighbours; ids that occur
-    with one location several times count once and an id is never paired with itself. Pairs across the
+    Ids are integers. Rows without id or with a location that is null, NaN or outside -180..180 / -90..90 have no neighbours; ids
+    that occur with one location several times count once and an id is never paired with itself. Pairs across the
     180th meridian are not formed. Points that share a location are one site while sites are compared, so a site that holds a
-    third of all rows is one row there; its own pairs are part of the result and come from an equi-join that AQE splits.
+    third of all rows is one row there; only sites with several points are joined with them afterwards, by equi-joins that
+    AQE splits.
     """
-    pts = checkpointed(_located(points, point_id, lon, lat).distinct())
-    sites = pts.select("lon", "lat").distinct()
-    far = near_sites(checkpointed(sites), within_m, cap)
-    a, b = pts.select(F.col("id").alias("ia"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a")), pts.select(F.col("id").alias("ib"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
-    apart = far.join(a, ["lon_a", "lat_a"]).join(b, ["lon_b", "lat_b"]).select("ia", "ib", "metres").where("ia <> ib")
-    shared = pts.groupBy("lon", "lat").agg(F.count("*").alias("n")).where("n > 1").select("lon", "lat")
-    crowd = pts.join(shared, ["lon", "lat"], "left_semi")
-    same = crowd.select(F.col("id").alias("ia"), "lon", "lat").join(crowd.select(F.col("id").alias("ib"), "lon", "lat"), ["lon", "lat"]).where("ia < ib").select("ia", "ib", F.lit(0.0).alias("metres"))
-    pairs = apart.select(F.least("ia", "ib").alias("left_id"), F.greatest("ia", "ib").alias("right_id"), "metres").unionByName(same.toDF("left_id", "right_id", "metres"))
+    pts = checkpointed(_located(points, point_id, lon, lat))
+    sites = checkpointed(pts.groupBy("lon", "lat").agg(F.when(F.min("id") == F.max("id"), F.min("id")).cast("long").alias("id")))
+    far = near_sites(sites, within_m, cap)
+    shared = sites.where("id is null").select("lon", "lat")
+    crowd = checkpointed(pts.join(shared, ["lon", "lat"], "left_semi").distinct())
+    far = checkpointed(far)
+    member = lambda x: crowd.select(F.col("id").alias(f"m{x}"), F.col("lon").alias(f"lon_{x}"), F.col("lat").alias(f"lat_{x}"))
+    some = far.where("id_a is null or id_b is null").select("*", *[F.col(f"id_{x}").alias(f"m{x}") for x in "ab"])
+    for x in "ab":
+        many = some.where(f"id_{x} is null").drop(f"m{x}").join(member(x), [f"lon_{x}", f"lat_{x}"])
+        some = some.where(f"id_{x} is not null").unionByName(many)
+    same = member("a").join(member("b").toDF("mb", "lon_a", "lat_a"), ["lon_a", "lat_a"]).where("ma < mb").select("ma", "mb", F.lit(0.0).alias("metres"))
+    pairs = far.where("id_a is not null and id_b is not null").select(F.col("id_a").alias("ma"), F.col("id_b").alias("mb"), "metres").unionByName(some.select("ma", "mb", "metres")).where("ma <> mb").unionByName(same)
     # an id with several locations may meet another more than once
-    return pairs.groupBy("left_id", "right_id").agg(F.min("metres").alias("metres"))
+    return pairs.groupBy(F.least("ma", "mb").alias("left_id"), F.greatest("ma", "mb").alias("right_id")).agg(F.min("metres").alias("metres"))
 
 
 TRI = "region long, ring int, simple boolean, ax double, ay double, bx double, by double, cx double, cy double"
