@@ -5,9 +5,122 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, percentiles, tokens
+from tidemark.llm import language, linkage, mixing, percentiles, tokens
+from tidemark.session import checkpointed
 from tidemark.sources.tables import table
 
+#: Fixed: short forms of words in place names.
+SHORT_WORDS = {"nth": "north", "sth": "south", "upr": "upper", "mt": "mount", "pt": "point", "hts": "heights", "vly": "valley", "bch": "beach", "jn": "junction", "pk": "park"}
+NAME_WORDS = ["north", "south", "upper", "mount", "point", "heights", "valley", "beach", "junction", "park", "bay"]
+ACCENTED, PLAIN = "āēīōūàáâäèéêëìíîïòóôöùúûüçñ", "aeiouaaaaeeeeiiiioooouuuucn"
+
+
+def name_form(c: Column) -> Column:
+    """Words of a place name: lower case, no accents, letters only, short forms written out."""
+    low = F.translate(F.lower(c), ACCENTED, PLAIN)
+    low = F.trim(F.regexp_replace(F.regexp_replace(low, "^house prices in ", ""), "[^a-z]+", " "))
+    words = F.create_map(*[F.lit(x) for kv in SHORT_WORDS.items() for x in kv])
+    return F.nullif(F.array_join(F.transform(F.split(low, " "), lambda w: F.coalesce(words[w], w)), " "), F.lit(""))
+
+
+def _ordered(c: Column) -> Column:
+    """The words in a fixed order, so that a word in front or behind is the same name."""
+    return F.array_join(F.array_sort(F.split(c, " ")), " ")
+
+
+def _core(c: Column) -> Column:
+    """The longest word that is no usual part of names."""
+    own = F.filter(F.split(c, " "), lambda w: ~w.isin(NAME_WORDS))
+    words = F.when(F.size(own) > 0, own).otherwise(F.split(c, " "))
+    return F.element_at(F.array_sort(words, lambda a, b: F.length(b) - F.length(a)), 1)
+
+
+def page_records(spark: SparkSession, d: str) -> DataFrame:
+    """One record of each page: both its names (heading and address), district, populations and place."""
+    pages = table(spark, d, "suburb_page")
+    market = table(spark, d, "market_snapshot").where("suburb_id is null and population > 0").groupBy("source_url").agg(F.mode("population", True).alias("sold_population"))
+    slug = F.regexp_replace(F.regexp_extract("source_url", "([^/]+)/?$", 1), "(-[0-9]+)+$", "")
+    slug = F.when(~slug.rlike("^[0-9]*$"), slug)
+    rows = pages.join(market, "source_url", "left").where("page_id is not null")
+    heading = F.regexp_replace("heading", ",.*$", "")
+    lon, lat = F.when(F.col("lon").between(160, 180), F.col("lon")), F.when(F.col("lat").between(-50, -30), F.col("lat"))
+    return rows.select(
+        F.col("page_id").alias("id"), name_form(heading).alias("name"), name_form(slug).alias("slug"), name_form(F.coalesce("district", F.regexp_extract("heading", ", *(.*)$", 1))).alias("district"),
+        F.nullif(F.col("population"), F.lit(0)).alias("population"), "sold_population", lon.alias("lon"), lat.alias("lat"),
+    )
+
+
+def suburb_records(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "suburb").where("suburb_id is not null")
+    lon, lat = F.when(F.col("centroid.x").between(160, 180), F.col("centroid.x")), F.when(F.col("centroid.y").between(-50, -30), F.col("centroid.y"))
+    name = name_form(F.coalesce("name", "name_ascii"))
+    return s.select(
+        F.col("suburb_id").alias("id"), name.alias("name"), F.lit(None).cast("string").alias("slug"), name_form(F.col("major_name")).alias("district"),
+        F.nullif(F.col("population_linz"), F.lit(0)).alias("population"), F.lit(None).cast("int").alias("sold_population"), lon.alias("lon"), lat.alias("lat"),
+    )
+
+
+def _keys(cut) -> Column:
+    """cut() of the core of each of a record's names."""
+    return F.array(*[F.when(F.length(_core(F.col(c))) > 3, cut(_core(F.col(c)))) for c in ("name", "slug")])
+
+
+def page_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs of pages and suburbs with their agreement levels."""
+    pages, suburbs = checkpointed(page_records(spark, d)), checkpointed(suburb_records(spark, d))
+    same = lambda c: (c, c)
+    skeleton = lambda w: F.substring(F.regexp_replace(w, "[aeiou]|(.)(?=\\1)", ""), 1, 4)
+    place = F.array(*[F.concat_ws(",", F.floor(F.col("lon") * 20 + i).cast("long"), F.floor(F.col("lat") * 20 + j).cast("long")) for i in (0, 1) for j in (0, 1)])
+    place = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), place).otherwise(F.array())
+    at = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.array(F.concat_ws(",", F.floor(F.col("lon") * 20 + 0.5).cast("long"), F.floor(F.col("lat") * 20 + 0.5).cast("long")))).otherwise(F.array())
+    pops = F.array(F.when(F.col("sold_population").isNotNull(), F.concat_ws(":", "sold_population", F.substring("district", 1, 2))), F.when(F.col("slug").isNull(), F.concat_ws(":", "population", F.substring("district", 1, 2))))
+    passes = [
+        same(_keys(lambda w: F.substring(w, 1, 4))),
+        same(_keys(lambda w: F.substring(w, -4, 4))),
+        same(_keys(skeleton)),
+        same(_keys(lambda w: F.substring(F.array_join(F.array_sort(F.array_distinct(F.split(w, ""))), ""), 1, 12))),
+        (at, place),
+        same(pops),
+    ]
+    fine = F.array(F.substring("district", 1, 3), F.concat(F.lit("p"), F.floor(F.log2(F.coalesce("sold_population", "population"))).cast("string")))
+    ids = linkage.block(pages, suburbs, passes, fine)
+    p, s = (df.select(*[F.col(c).alias(f"{x}_{c}") for c in df.columns]) for x, df in (("p", pages), ("s", suburbs)))
+    pairs = ids.join(p, ids["l"] == F.col("p_id")).join(s, ids["r"] == F.col("s_id"))
+    level = lambda c: linkage.name_level(_ordered(F.col(c)), _ordered(F.col("s_name")))
+    ratio = lambda a, b: F.abs(F.ln(F.col(a) / F.col(b)))
+    kind = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.col(c), " "), lambda w: w.isin(NAME_WORDS))), " ")
+    dx = (F.col("p_lon") - F.col("s_lon")) * F.cos(F.radians("s_lat")) * 111.19
+    km = F.hypot(dx, (F.col("p_lat") - F.col("s_lat")) * 111.19)
+    dd = F.levenshtein("p_district", "s_district")
+    return pairs.select(
+        "l", "r",
+        F.greatest(level("p_name"), level("p_slug")).alias("name"),
+        F.when(kind("p_name") == kind("s_name"), 2).when(kind("p_slug") == kind("s_name"), 2).when((kind("p_name") == "") | (kind("p_slug") == ""), 1).when(F.coalesce("p_name", "p_slug").isNotNull(), 0).alias("kind"),
+        F.when(dd == 0, 3).when(F.col("s_district").startswith(F.col("p_district")) | (dd <= 2), 2).when(dd <= 4, 1).when(dd.isNotNull(), 0).alias("district"),
+        F.when(ratio("p_sold_population", "s_population") < 1e-9, 2).when(ratio("p_sold_population", "s_population") < 0.1, 1).when(ratio("p_sold_population", "s_population").isNotNull(), 0).alias("sold"),
+        F.when(F.col("p_sold_population").isNull() | F.col("s_population").isNull(), F.when(ratio("p_population", "s_population") < 0.03, 2).when(ratio("p_population", "s_population") < 0.15, 1).when(ratio("p_population", "s_population").isNotNull(), 0)).alias("population"),
+        F.when(km < 1.2, 3).when(km < 4, 2).when(km < 12, 1).when(km.isNotNull(), 0).alias("place"),
+    )
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """The suburb that each page describes, with a confidence."""
+    links = linkage.link(page_pairs(spark, d), {"name": 5, "kind": 3, "district": 4, "sold": 3, "population": 3, "place": 4}, least=0.8)
+    return links.select(F.col("l").alias("page_id"), F.col("r").cast("int").alias("suburb_id"), "confidence")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The suburb that each page describes, if any."""
+    return p5_links(spark, d).select("page_id", "suburb_id")
+
+
+def p5_market(spark: SparkSession, d: str) -> DataFrame:
+    """How many market_snapshot rows without suburb_id each page's suburb gets, with the confidence."""
+    links = p5_links(spark, d).join(table(spark, d, "suburb_page").select("page_id", "source_url"), "page_id")
+    rows = table(spark, d, "market_snapshot").where("suburb_id is null and source_url is not null").select("source_url", "source_as_at").join(links, "source_url")
+    return rows.groupBy("suburb_id", "source_as_at").agg(F.count("*").alias("rows"), F.round(F.min("confidence"), 4).alias("least_confidence"))
+
+
 QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
@@ -97,5 +210,30 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_drawn(spark, d, targets), targets)
 
 
-QUERIES = {"p6_percentiles": p6_percentiles, "p6_by_year": p6_by_year, "p6_bound": p6_bound, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs, "doc_id", "text", label_form(F.col("lang")), LANGUAGES)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The language of documents whose label does not name it, and the languages of mixed documents."""
+    got = _languages(spark, d)
+    all_langs = F.array_distinct(F.transform("stretches", lambda s: s["lang"]))
+    wrong = F.when(~F.coalesce(F.col("label") == F.col("lang"), F.lit(False)), F.array(F.struct("lang", F.lit("label").alias("role"))))
+    mixed = F.when(F.size(all_langs) > 1, F.transform(all_langs, lambda x: F.struct(x.alias("lang"), F.lit("mixed").alias("role"))))
+    rows = got.where("lang is not null").select("doc_id", F.explode(F.concat(F.coalesce(wrong, F.array()), F.coalesce(mixed, F.array()))).alias("r"))
+    return rows.select("doc_id", "r.lang", "r.role")
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's language with its confidence."""
+    return _languages(spark, d).select("doc_id", "lang", F.round("confidence", 3).alias("confidence"), F.size("stretches").alias("stretches"))
+
+
+def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Each stretch of each document with its language and confidence."""
+    return _languages(spark, d).select("doc_id", F.explode("stretches").alias("s")).select("doc_id", "s.start", "s.end", "s.lang", F.round("s.confidence", 3).alias("confidence"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_links": p5_links, "p5_market": p5_market, "p6_percentiles": p6_percentiles, "p6_by_year": p6_by_year, "p6_bound": p6_bound, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages, "p10_stretches": p10_stretches}
 SQL = {"p6_bound": P6_BOUND_SQL, "p8_round_trip": P8_ROUND_TRIP_SQL}
