@@ -125,7 +125,7 @@ class ByteGru:
 
 
 def train(texts: list[bytes], labels: np.ndarray, classes: int, steps: int = 300, batch: int = 128, window: int = 72, rate: float = 0.012, hidden: int = 40, seed: int = 5, doubt: float = 0.25) -> ByteGru:
-    """A network trained on windows of texts, from their start or a random place, drawn evenly from the classes.
+    """A network trained on windows of texts, from their start or a random place, drawn from each class by the root of its size.
 
     After a third of the steps a window that the network itself gives its label less than `doubt` on
     average is left out: labels are partly wrong.
@@ -134,10 +134,11 @@ def train(texts: list[bytes], labels: np.ndarray, classes: int, steps: int = 300
     net = ByteGru(classes, hidden, seed=seed)
     by = [np.flatnonzero(labels == c) for c in range(classes)]
     present = [c for c in range(classes) if len(by[c])]
+    share = np.sqrt([len(by[c]) for c in present])
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     for step in range(1, steps + 1):
-        target = rng.choice(present, batch)
+        target = rng.choice(present, batch, p=share / share.sum())
         ids = np.full((window, batch), 32, dtype=np.int64)
         weight = np.zeros((window, batch), F32)
         for i, c in enumerate(target):

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.gru import ByteGru, train
 
 #: Rows of each language that the network is trained on at most, and bytes of each of them.
-SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 500, 4_000
+SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 1_500, 4_000
 WINDOW, CONTEXT, BATCH = 256, 16, 256
-LEAST_BYTES, LEAST_SHARE = 12, 0.75
+LEAST_BYTES, LEAST_SHARE = 12, 0.85
 
 SENTENCE = re.compile("(?:[^.!?。！？；\n]|[.!?](?![\\s\"'”»)<]|$)|ã(?!€‚))+(?:ã€‚|[.!?。！？；\n])*[\"'”»)]*")
 TAG = re.compile(r"<[^<>]{0,500}>|https?://\S+")
