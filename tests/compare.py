@@ -23,7 +23,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 def normal(df: pd.DataFrame) -> list[tuple]:
     """Rows as sorted tuples, columns by name."""
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and np.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and np.isnan(v)):
             return "~"
         if isinstance(v, (list, tuple, np.ndarray)):
             return str([cell(x) for x in v])

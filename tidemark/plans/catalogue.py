@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import records
+from tidemark.plans import records, views
 
-FLAGSHIP = "p7_found"
-_MODULES = [records]
+FLAGSHIP = "suburb_overview"
+_MODULES = [records, views]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
