@@ -149,17 +149,9 @@ def sample(docs: DataFrame, key: Column, text: Column, label: Column, languages:
     return texts, np.array(labels, dtype=np.int64)
 
 
-_trained: dict[int, ByteGru] = {}
-
-
 def fit(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: int = 400) -> ByteGru:
-    """A network for the sample; the last few are kept by their sample's content."""
-    mark = zlib.crc32(b"\0".join(texts) + labels.tobytes() + repr((languages, steps)).encode())
-    if mark not in _trained:
-        if len(_trained) > 3:
-            _trained.clear()
-        _trained[mark] = train(texts, labels, len(languages), steps=steps)
-    return _trained[mark]
+    """A network for the sample."""
+    return train(texts, labels, len(languages), steps=steps)
 
 
 STRETCH = "array<struct<start:int,end:int,lang:string,confidence:double,letters:int>>"
