@@ -116,4 +116,4 @@ def decode(df: DataFrame, code: str, domain: DataFrame, name: str) -> DataFrame:
 def fit_to_bytes(text: Column, most: int) -> Column:
     """The longest start of a text that fits into `most` bytes of UTF-8, no character cut."""
     cut = F.substring(F.encode(text, "UTF-8"), 1, most)
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", ""))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "\uFFFD+$", ""))
