@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 BLOCK = 512
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, scoped: bool = True, parts: int = 8) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, scoped: bool = True, vectors_a_part: int = 40_000, queries_a_part: int = 10_000) -> DataFrame:
     """(query_id, vec_id, score, scope, hit_scope, rank): the k vectors with the largest dot product for each query.
 
     queries: query_id, vector, scope; vectors: vec_id, vector, scope. With scoped, only vectors of the query's scope are
-    ever scored (both sides meet by scope). Rows are split into `parts` by id and queries go to each part in blocks, so every
-    query meets every vector of its scope once and no part grows beyond 1 / parts of a scope. A vector is never its own hit;
-    equal scores are ordered by id; null vectors and ids are left out.
+    ever scored (both sides meet by scope). Vectors and queries are split into blocks by hashed ids, as many as their numbers ask
+    for; every query block meets every vector block of its scope once, so no task holds more than a block of either,
+    however large a scope is. A vector is never its own hit; equal scores are ordered by id; null vectors and ids are left out.
     """
     q = queries.where("query_id is not null and vector is not null").select("query_id", F.col("vector").alias("v"), F.col("scope").alias("s"))
     v = vectors.where("vec_id is not null and vector is not null").select("vec_id", F.col("vector").alias("v"), F.col("scope").alias("s"))
-    key = ["part", "g"]
+    v_parts = max(4, -(-vectors.count() // vectors_a_part))
+    q_parts = max(1, -(-queries.count() // queries_a_part))
     group = F.coalesce(F.col("s").cast("string"), F.lit("")) if scoped else F.lit("")
-    q = q.withColumn("g", group).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    v = v.withColumn("g", group).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    key = ["g", "part", "block"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = q.withColumns({"g": group, "block": own("query_id", q_parts)}).withColumn("part", each(v_parts))
+    v = v.withColumns({"g": group, "part": own("vec_id", v_parts)}).withColumn("block", each(q_parts))
     scope = dict(vectors.dtypes)["scope"]
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

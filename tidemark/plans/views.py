@@ -158,14 +158,18 @@ def within_radius(t: Tables) -> DataFrame:
     return rows.groupBy("name").agg(F.count("*").alias("units"), half_even_long(F.median("cv")).alias("cv_median"))
 
 
+# Fixed value: the house number in front of an address
+HOUSE_NUMBER = r"^[0-9]+[A-Za-z]?(/[0-9]+[A-Za-z]?)?\s*"
+
+
 @query(
     "street_medians",
-    f"""WITH {_CURRENT} SELECT suburb_id, trim(regexp_replace(split_part(address, ',', 1), '^[0-9]+[A-Za-z]?(/[0-9]+[A-Za-z]?)?\\s*', '')) AS street, count(*) AS n, CAST(round_even(median(cv), 0) AS BIGINT) AS cv_median
+    f"""WITH {_CURRENT} SELECT suburb_id, trim(regexp_replace(split_part(address, ',', 1), '{HOUSE_NUMBER}', '')) AS street, count(*) AS n, CAST(round_even(median(cv), 0) AS BIGINT) AS cv_median
     FROM cur WHERE cv IS NOT NULL AND address IS NOT NULL AND suburb_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3""",
 )
 def street_medians(t: Tables) -> DataFrame:
     """Medians by street: the house number in front of an address is cut off."""
-    street = F.trim(F.regexp_replace(F.split_part("address", F.lit(","), F.lit(1)), r"^[0-9]+[A-Za-z]?(/[0-9]+[A-Za-z]?)?\s*", ""))
+    street = F.trim(F.regexp_replace(F.split_part("address", F.lit(","), F.lit(1)), HOUSE_NUMBER, ""))
     rows = current(t).where("cv is not null and address is not null and suburb_id is not null")
     return rows.groupBy("suburb_id", street.alias("street")).agg(F.count("*").alias("n"), half_even_long(F.median("cv")).alias("cv_median")).where("n >= 3")
 
