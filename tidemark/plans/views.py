@@ -17,10 +17,14 @@ _ROUNDS = """val AS (
     FROM valuation WHERE ru_id IS NOT NULL) WHERE rn = 1)"""
 
 
-def rounds(t: Tables) -> DataFrame:
-    """Valuations without repeats: for each unit and date the row of the last run (of equals the larger values)."""
+def last_loaded(valuation: DataFrame) -> DataFrame:
+    """Without repeats: for each unit and date the row of the last run (of equals the larger values)."""
     last = F.max(F.struct(F.coalesce("run_id", F.lit(-1)).alias("run"), "cv", "lv")).alias("s")
-    return t.valuation.where("ru_id is not null").groupBy("ru_id", "valuation_date").agg(last).select("ru_id", "valuation_date", "s.cv", "s.lv")
+    return valuation.where("ru_id is not null").groupBy("ru_id", "valuation_date").agg(last).select("ru_id", "valuation_date", "s.cv", "s.lv")
+
+
+def rounds(t: Tables) -> DataFrame:
+    return last_loaded(t.valuation)
 
 
 _MARKET = """mk AS (
@@ -46,9 +50,7 @@ def current(t: Tables, on: str = CURRENT_ROUND) -> DataFrame:
 
 
 def rounds_on(t: Tables, on: str) -> DataFrame:
-    last = F.max(F.struct(F.coalesce("run_id", F.lit(-1)).alias("run"), "cv", "lv")).alias("s")
-    v = t.valuation.where((F.col("valuation_date") == F.lit(on).cast("date")) & F.col("ru_id").isNotNull())
-    return v.groupBy("ru_id", "valuation_date").agg(last).select("ru_id", "valuation_date", "s.cv", "s.lv")
+    return last_loaded(t.valuation.where(F.col("valuation_date") == F.lit(on).cast("date")))
 
 
 @query(
@@ -57,9 +59,8 @@ def rounds_on(t: Tables, on: str) -> DataFrame:
 )
 def rating_unit_current(t: Tables) -> DataFrame:
     """Units with their value at the latest date of all: a scalar subquery that is pushed into the scan."""
-    newest = t.valuation.agg(F.max("valuation_date").alias("newest"))
-    latest = rounds(t).join(F.broadcast(newest), F.col("valuation_date") == F.col("newest"))  # one row
-    return t.rating_unit.select("ru_id", "suburb_id", "planning_zone_code").join(latest.drop("newest"), "ru_id")
+    newest = t.valuation.agg(F.max("valuation_date")).scalar()
+    return t.rating_unit.select("ru_id", "suburb_id", "planning_zone_code").join(last_loaded(t.valuation.where(F.col("valuation_date") == newest)), "ru_id")
 
 
 _BY_SUBURB = "bs AS (SELECT suburb_id, count(*) AS units, CAST(round_even(median(cv), 0) AS BIGINT) AS cv_median, CAST(round_even(quantile_cont(cv, 0.25), 0) AS BIGINT) AS cv_p25, CAST(round_even(quantile_cont(cv, 0.75), 0) AS BIGINT) AS cv_p75 FROM cur WHERE cv > 0 GROUP BY suburb_id)"
