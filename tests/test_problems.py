@@ -130,7 +130,7 @@ def test_profile_like_numpy(spark):
     data = [(rng.choice(["a", "b", "c"]), rng.choice(["s", "t"]), rng.choice([None, 0.0, 1.5, 2.5, rng.gauss(3, 1)]), rng.choice([None, "x", "yy", "é"]), i, float("nan") if i % 50 == 0 else 1.0) for i in range(800)]
     df = spark.createDataFrame(data, "load string, kind string, v double, w string, num int, txt double")
     counts = profile.unpivot(df, ["v", "w", "num", "txt"], F.col("load"), F.col("kind"), {"w": "^x$"}, {"v": (0.5, 100)})
-    for per in (40, 400_000):
+    for per in (4, 40, 400_000):
         got = {(r["col"], r["series"], r["load"]): r for r in profile.profile(counts, per).collect()}
         assert len(got) == 4 * 2 * 3
         for (col, s, load), r in got.items():

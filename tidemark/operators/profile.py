@@ -155,7 +155,8 @@ def profile(counts: DataFrame, values_a_part: int = 400_000) -> DataFrame:
     counts = counts.withColumns({"load": F.coalesce("load", F.lit("")), "series": F.coalesce("series", F.lit(""))})
     counts = checkpointed(counts)
     parts = parts_for(spark, counts.count(), values_a_part)
-    ranged = counts.repartitionByRange(parts, *SORT).sortWithinPartitions(*SORT).withColumn("pid", F.spark_partition_id())
+    # all loads' rows of a value go to one partition: the curves are compared at whole values
+    ranged = counts.repartitionByRange(parts, *SORT[:-1]).sortWithinPartitions(*SORT).withColumn("pid", F.spark_partition_id())
     ranged = checkpointed(ranged.withColumn("n", F.col("n").cast("long")))
     # at most two segments a partition: bounded by partitions times loads
     edges = ranged.mapInPandas(_edges, "pid int, col string, series string, load string, n long").toPandas()
