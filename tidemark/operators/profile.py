@@ -76,69 +76,113 @@ QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 OUT = "col string, series string, load string, kind string, arg double, num double, txt string, n long"
 
 
+def _same(a: np.ndarray) -> np.ndarray:
+    """Whether each entry equals the one before (null equals null)."""
+    null = pd.isna(a)
+    with np.errstate(invalid="ignore"):
+        return (np.asarray(a[1:] == a[:-1], dtype=bool) & ~null[1:] & ~null[:-1]) | (null[1:] & null[:-1])
+
+
 def _profile_part(before: dict, totals: dict):
-    """A function from a partition to its share of the profile.
+    """A function from a partition to its share of the profile, as arrays over all its columns, series and loads at once.
 
     before: (pid, col, series) -> counts per load in earlier partitions; totals: (col, series) -> counts per load, of
     segments that cross a border.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (col, series), rows in _Part(batches).segments():
-            out: list[tuple] = []
-            every = pd.DataFrame({"load": rows["load"], "n": rows["n"], "bad": rows["n"].where(rows["bad"], 0)}).groupby("load").sum()
-            for load, n, bad in zip(every.index, every["n"], every["bad"]):
-                out += [(load, "rows", 0.0, None, None, int(n)), (load, "bad", 0.0, None, None, int(bad))]
-            is_num = rows["num"].notna()
-            live = rows[is_num | rows["txt"].notna()]
-            for load, n in rows[~(is_num | rows["txt"].notna())].groupby("load")["n"].sum().items():
-                out.append((load, "nulls", 0.0, None, None, int(n)))
-            if len(live):
-                here = live.groupby("load", sort=True)["n"].sum()
-                total = totals.get((col, series), here.to_dict())
-                prior = before.get((int(rows["pid"].iat[0]), col, series), {})
-                loads = sorted(k for k, n in total.items() if n)
-                place = {x: i for i, x in enumerate(loads)}
-                number = bool(is_num.any())
-                value = live["num" if number else "txt"].to_numpy()
-                new = np.concatenate([[True], value[1:] != value[:-1]])
-                spot = np.cumsum(new) - 1
-                distinct = value[new]
-                li = live["load"].map(place).to_numpy()
-                n = live["n"].to_numpy(dtype=np.int64)
-                order = np.argsort(li, kind="stable")
-                cut = np.searchsorted(li[order], np.arange(len(loads) + 1))
-                curve_at: list[tuple[np.ndarray, np.ndarray]] = []
-                for i, load in enumerate(loads):
-                    own = order[cut[i] : cut[i + 1]]
-                    start, size = prior.get(load, 0), total[load]
-                    cum = start + np.cumsum(n[own])
-                    curve_at.append((spot[own], cum))
-                    if not len(own):
-                        continue
-                    out.append((load, "distinct", 0.0, None, None, len(own)))
-                    top = own[np.argmax(n[own])]
-                    out.append((load, "mode", 0.0, float(value[top]) if number else None, None if number else value[top], int(n[top])))
-                    for q in QUANTILES:
-                        for rank in {int(np.floor(q * (size - 1))), int(np.ceil(q * (size - 1)))}:
-                            if start <= rank < cum[-1]:
-                                v = value[own[np.searchsorted(cum, rank, side="right")]]
-                                out.append((load, "rank", float(rank), float(v) if number else None, None if number else v, size))
-                    if number:
-                        out.append((load, "size", 0.0, None, None, int(cum[-1] - start)))
-                        out.append((load, "sum", 0.0, float(np.dot(value[own].astype(float), n[own])), None, 0))
-                for i in range(1, len(loads)):
-                    # the merged cumulative curves of two loads, read at every value of either
-                    (sa, ca), (sb, cb) = curve_at[i - 1], curve_at[i]
-                    at = np.union1d(sa, sb)
-                    f = []
-                    for load, s, c in ((loads[i - 1], sa, ca), (loads[i], sb, cb)):
-                        k = np.searchsorted(s, at, side="right")
-                        f.append(np.concatenate([[prior.get(load, 0)], c])[k] / total[load])
-                    gap = float(np.max(np.abs(f[0] - f[1]))) if len(at) else 0.0
-                    out.append((loads[i], "ks", 0.0, gap, None, 0))
-            if out:
-                yield pd.DataFrame(out, columns=["load", "kind", "arg", "num", "txt", "n"]).assign(col=col, series=series)[["col", "series", "load", "kind", "arg", "num", "txt", "n"]]
+        df = _Part(batches).df
+        if df is None:
+            return
+        col, series, n = df["col"].to_numpy(object), df["series"].to_numpy(object), df["n"].to_numpy(np.int64)
+        num, txt = df["num"].to_numpy(float), df["txt"].to_numpy(object)
+        same_seg = _same(col) & _same(series)
+        seg = np.concatenate([[0], np.cumsum(~same_seg)])
+        first = np.flatnonzero(np.concatenate([[True], ~same_seg]))
+        # segments that cross a border also have loads of which this partition has no row
+        cross = {int(k): totals[key] for k in {0, len(first) - 1} if (key := (col[first[k]], series[first[k]])) in totals}
+        loads = sorted({*df["load"].unique(), *(x for t in cross.values() for x in t)})
+        place = {x: i for i, x in enumerate(loads)}
+        width = len(loads)
+        key = seg * width + df["load"].map(place).to_numpy(np.int64)
+        extra = [k * width + place[x] for k, t in cross.items() for x in t]
+        groups = np.unique(np.concatenate([key, np.array(extra, dtype=np.int64)]))
+        g, G = np.searchsorted(groups, key), len(groups)
+        is_num = ~np.isnan(num)
+        live = is_num | ~pd.isna(txt)
+        count = lambda mask: np.bincount(g[mask], n[mask], G).astype(np.int64)
+        rows, nulls, bad = count(slice(None)), count(~live), count(df["bad"].to_numpy(bool))
+        total, prior = count(live), np.zeros(G, dtype=np.int64)
+        pid = int(df["pid"].iat[0])
+        for k, t in cross.items():
+            done = before[pid, col[first[k]], series[first[k]]]
+            for x, m in t.items():
+                at = np.searchsorted(groups, k * width + place[x])
+                total[at], prior[at] = m, done.get(x, 0)
+        out: list[pd.DataFrame] = []
+
+        def put(kind: str, at: np.ndarray, arg=0.0, value_at: np.ndarray | None = None, num_=None, n_=0) -> None:
+            own = groups[at]
+            out.append(pd.DataFrame({
+                "col": col[first[own // width]], "series": series[first[own // width]], "load": [loads[i] for i in own % width], "kind": kind, "arg": np.broadcast_to(np.asarray(arg, dtype=float), len(at)),
+                "num": num[value_at] if value_at is not None else (np.nan if num_ is None else num_), "txt": txt[value_at] if value_at is not None else None, "n": n_,
+            }))
+
+        here = np.flatnonzero(rows)
+        put("rows", here, n_=rows[here])
+        put("bad", here, n_=bad[here])
+        put("nulls", here, n_=nulls[here])
+        if live.any():
+            r = np.flatnonzero(live)
+            r = r[np.argsort(g[r], kind="stable")]  # by group, in order of value
+            rg, rn = g[r], n[r]
+            start = np.flatnonzero(np.concatenate([[True], rg[1:] != rg[:-1]]))
+            present, size = rg[start], np.diff(np.concatenate([start, [len(r)]]))
+            cum = np.cumsum(rn)
+            cum += np.repeat(prior[present] - (cum[start] - rn[start]), size)
+            put("distinct", present, n_=size)
+            top = np.lexsort((-rn, rg))[start]
+            put("mode", present, value_at=r[top], n_=rn[top])
+            span = int(max(cum.max(), total.max())) + 2
+            code = rg * span + cum
+            for q in QUANTILES:
+                pos = q * (total[present] - 1)
+                for rank in (np.floor(pos), np.ceil(pos)):
+                    rank = rank.astype(np.int64)
+                    at = np.minimum(np.searchsorted(code, present * span + rank, side="right"), len(r) - 1)
+                    ok = (rg[at] == present) & (cum[at] - rn[at] <= rank) & (rank < cum[at])
+                    put("rank", present[ok], arg=rank[ok], value_at=r[at[ok]])
+            is_number = is_num[r[start]]
+            sums = np.bincount(rg, np.nan_to_num(num[r]) * rn, G)[present[is_number]]
+            put("sum", present[is_number], num_=sums)
+            # consecutive loads of a segment that have values: each row moves the curve of its load in two comparisons
+            full = np.flatnonzero(total > 0)
+            pair = (groups[full[1:]] // width) == (groups[full[:-1]] // width)
+            old_of, new_of = np.full(G, -1), np.full(G, -1)
+            old_of[full[1:][pair]], new_of[full[:-1][pair]] = full[:-1][pair], full[1:][pair]
+            same_value = same_seg & _same(num) & _same(txt)
+            spot = np.concatenate([[0], np.cumsum(~same_value)])[r]
+            as_new, as_old = old_of[rg] >= 0, new_of[rg] >= 0
+            who = np.concatenate([rg[as_new], new_of[rg[as_old]]])
+            where = np.concatenate([spot[as_new], spot[as_old]])
+            up = np.concatenate([rn[as_new], np.zeros(as_old.sum(), dtype=np.int64)])
+            down = np.concatenate([np.zeros(as_new.sum(), dtype=np.int64), rn[as_old]])
+            if len(who):
+                order = np.lexsort((where, who))
+                who, where = who[order], where[order]
+                begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                new, runs = who[begin], np.diff(np.concatenate([begin, [len(who)]]))
+                old = old_of[new]
+
+                def curve(step: np.ndarray, of: np.ndarray) -> np.ndarray:
+                    c = np.cumsum(step)
+                    return (c + np.repeat(prior[of] - (c[begin] - step[begin]), runs)) / np.repeat(total[of], runs)
+
+                gap = np.abs(curve(up[order], new) - curve(down[order], old))
+                last = np.concatenate([(who[1:] != who[:-1]) | (where[1:] != where[:-1]), [True]])
+                put("ks", new, num_=np.maximum.reduceat(np.where(last, gap, 0.0), begin))
+        made = pd.concat([x for x in out if len(x)], ignore_index=True)
+        yield made.astype({"num": "float64", "n": "int64", "txt": object})
 
     return run
 
