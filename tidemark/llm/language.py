@@ -25,7 +25,7 @@ SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 1_500, 4_000
 WINDOW, CONTEXT, BATCH = 256, 16, 256
 LEAST_BYTES, LEAST_SHARE = 12, 0.85
 
-SENTENCE = re.compile("(?:[^.!?。！？；\n]|[.!?](?![\\s\"'”»)<]|$)|ã(?!€‚))+(?:ã€‚|[.!?。！？；\n])*[\"'”»)]*")
+SENTENCE = re.compile("(?:[^.!?;。！？；\n]|[.!?;](?![\\s\"'”»)<]|$)|ã(?!€‚))+(?:ã€‚|[.!?;。！？；\n])*[\"'”»)]*")
 TAG = re.compile(r"<[^<>]{0,500}>|https?://\S+")
 # what a byte above 127 looks like when UTF-8 was read as Latin-1 or Windows-1252
 _ODD = {bytes([b]).decode("cp1252", "ignore") or chr(b): b for b in range(128, 256)} | {chr(b): b for b in range(128, 256)}
@@ -149,7 +149,7 @@ def sample(docs: DataFrame, key: Column, text: Column, label: Column, languages:
     return texts, np.array(labels, dtype=np.int64)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: int = 400) -> ByteGru:
+def fit(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: int = 500) -> ByteGru:
     """A network for the sample."""
     return train(texts, labels, len(languages), steps=steps)
 
