@@ -36,8 +36,8 @@ class VersionStore:
         return text
 
     def version(self) -> int:
-        """The current version, -1 if there is none."""
-        return int(self._get("_CURRENT") or -1)
+        """The current version, -1 if there is none; between the two steps of a swap the pointer is still called _NEXT."""
+        return int(self._get("_CURRENT") or self._get("_NEXT") or -1)
 
     def write(self, df: DataFrame, note: dict | None = None) -> int:
         n = self.version() + 1
