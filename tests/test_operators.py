@@ -1,11 +1,13 @@
 """Operators and sources that the queries use only in part."""
 
+import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
+from tidemark.operators.nearby import metres
 from tidemark.operators import api, grid, model, quality, relational, scd, search, text
 from tidemark.sources import files
 from tidemark.sources.versions import VersionStore
@@ -165,6 +167,17 @@ def test_interval_and_nearest_joins(spark):
     assert sorted((r["id"], r["rid"]) for r in relational.nearest(left, right, "id", "rid").collect()) == [(1, 10), (2, 10)]
 
 
+def test_nearest_like_brute_force(spark):
+    rng = random.Random(8)
+    left = [(i, rng.uniform(166, 179), rng.uniform(-47, -34)) for i in range(120)]
+    right = [(i, rng.gauss(172, 0.3), rng.gauss(-40, 0.3)) for i in range(200)] + [(900, 178.9, -46.9)]
+    want = [(i, min(right, key=lambda r: (float(metres(x, y, r[1], r[2])), r[0]))[0]) for i, x, y in left]
+    df = spark.createDataFrame(left, "id long, x double, y double")
+    other = spark.createDataFrame(right, "rid long, bx double, by double")
+    assert sorted((r["id"], r["rid"]) for r in relational.nearest(df, other, "id", "rid").collect()) == want
+    assert relational.nearest(df, other.limit(0), "id", "rid").count() == 0
+
+
 def test_grid_operators(spark):
     pts = spark.createDataFrame([("g", x + 0.5, y + 0.5, float(x * 10 + y)) for x in range(3) for y in range(3) if (x, y) != (1, 1)], "g string, x double, y double, v double")
     b = grid.bounds(pts, "g", 0.7)

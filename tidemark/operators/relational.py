@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import haversine_km
+from tidemark.session import checkpointed
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -43,29 +44,33 @@ def interval_join(points: DataFrame, at: str, intervals: DataFrame, start: str,
     return points.withColumn("_b", bucket(F.col(at))).join(spread, [*keys, "_b"]).where((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))).drop("_b")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first_cell: float = 0.25) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """The nearest right row (bx, by) of each left row (x, y), with the distance km.
 
-    Looks in the cells around each point, then, for points whose find may be beaten by one outside them, in cells
-    four times as large, until all have the nearest. Ties go to the smaller right id. Degrees within one hemisphere.
+    Looks in the nine cells around each point, of a size that holds about one right row on average; points whose find may be
+    beaten by a row outside look again in cells four times as wide, until all have the nearest. Ties go to the smaller right id.
+    Degrees within one hemisphere; without right rows there are no rows.
     """
-    found, rest, cell = None, left, first_cell
+    e = right.agg(F.count("*").alias("n"), (F.max("bx") - F.min("bx")).alias("w"), (F.max("by") - F.min("by")).alias("h")).first()
+    cell = max(1e-4, ((e["w"] or 0.0) * (e["h"] or 0.0) / max(1, e["n"])) ** 0.5)
+    found, rest = None, left
     while True:
-        whole = cell > 360
+        whole = cell > 90
         at = lambda c: F.floor(F.col(c) / cell) if not whole else F.lit(0)  # noqa: E731, B023
-        around = [F.struct((at("x") + i).alias("cx"), (at("y") + j).alias("cy")) for i in ((-1, 0, 1) if not whole else (0,)) for j in ((-1, 0, 1) if not whole else (0,))]
-        cand = rest.withColumn("c", F.explode(F.array(*around))).select("*", F.col("c.cx").cast("long").alias("cx"), F.col("c.cy").cast("long").alias("cy")).drop("c")
+        steps = (-1, 0, 1) if not whole else (0,)
+        around = F.array(*[F.struct((at("x") + i).cast("long").alias("cx"), (at("y") + j).cast("long").alias("cy")) for i in steps for j in steps])
+        cand = rest.withColumn("c", F.explode(around)).select("*", "c.cx", "c.cy").drop("c")
         pairs = cand.join(right.withColumns({"cx": at("bx").cast("long"), "cy": at("by").cast("long")}), ["cx", "cy"]).drop("cx", "cy")
         km = pairs.withColumn("km", haversine_km(F.col("x"), F.col("y"), F.col("bx"), F.col("by")))
-        best = km.groupBy(left_id).agg(F.min(F.struct("km", right_id, *[c for c in right.columns if c != right_id])).alias("b")).select(left_id, "b.*")
-        # anything outside the nine cells is at least one cell away; a degree of longitude is shortest at the far latitude
-        reach = F.lit(cell * 111.19) * F.cos(F.radians(F.least(F.abs(F.col("by")) + 2 * cell, F.lit(89.0))))
-        sure = best if whole else best.where(F.col("km") <= reach)
+        best = km.groupBy(left_id).agg(F.min(F.struct("km", right_id, *[c for c in right.columns if c != right_id])).alias("b"), F.max(F.abs("y")).alias("_y")).select(left_id, "b.*", "_y")
+        # a row outside the nine cells is at least one cell away; a degree of longitude is shortest towards the pole
+        reach = F.lit(cell * 111.19) * F.cos(F.radians(F.least(F.col("_y") + 2 * cell, F.lit(89.0))))
+        sure = checkpointed((best if whole else best.where(F.col("km") <= reach)).drop("_y"))
         found = sure if found is None else found.unionByName(sure)
-        if whole:
-            return found
         rest = rest.join(sure.select(left_id), left_id, "left_anti")
-        cell = cell * 16 if cell * 16 <= 360 else 1e9
+        if whole or rest.isEmpty():
+            return found
+        cell *= 4
 
 
 def rekey(history: DataFrame, old_id: str, old_names: DataFrame, new_names: DataFrame, name: str) -> DataFrame:
