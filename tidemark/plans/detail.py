@@ -312,7 +312,8 @@ def text_scripts(t: Tables) -> DataFrame:
     return t.documents.groupBy(has_han(F.col("text")).alias("han")).agg(F.count("*").alias("texts"))
 
 
-@query("trimmed_texts")
+@query("trimmed_texts", r"""WITH h AS (SELECT doc_id, text, substring(text, 1, 520) AS head FROM documents), e AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?])(\s|$)', 1) AS whole, regexp_extract(head, '(?s)^(.*)\s\S*$', 1) AS words FROM h)
+  SELECT doc_id, CASE WHEN length(text) <= 520 THEN text WHEN whole <> '' THEN whole WHEN words <> '' THEN words ELSE head END AS text FROM e""")
 def trimmed_texts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", trim_to_sentence(F.col("text"), 520).alias("text"))
 
