@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from datetime import date
 
 import numpy as np
 import pytest
@@ -172,6 +173,20 @@ def test_place_names(spark):
     assert [r[0] for r in df.select(plans.name_form(F.col("n"))).collect()] == ["point apeko", "mount olvs valley", "titono upper", None, None]
 
 
+def test_url_variants_are_one_address(spark, tmp_path, monkeypatch):
+    forms = ["https://www.a.example/s/Oak-1", "http://a.example/s/oak-1", "https://www.A.example/s/oak-1/", " https://www.a.example/s/oak-1?ref=7 ", "//a.example/s/oak-1#top"]
+    df = spark.createDataFrame([(x,) for x in [*forms, "", None, "https://"]], "u string")
+    assert [r[0] for r in df.select(plans.url_form(F.col("u"))).collect()] == ["a.example/s/oak-1"] * 5 + [None] * 3
+    page = "page_id long, source_url string, heading string, district string, population int, lon double, lat double"
+    spark.createDataFrame([(1, forms[3], "Oak, Vale", None, 10, None, None), (2, forms[0], "Oak", "Vale", 10, None, None)], page).write.parquet(f"{tmp_path}/suburb_page.parquet")
+    market = [(None, date(2025, 1, 1), 10, u) for u in forms] + [(None, date(2025, 1, 1), 10, u) for u in ("https://www.a.example/s/elm", None)] + [(5, date(2025, 1, 1), 10, forms[0])]
+    spark.createDataFrame(market, "suburb_id int, source_as_at date, population int, source_url string").write.parquet(f"{tmp_path}/market_snapshot.parquet")
+    assert [(r["slug"], r["sold_population"]) for r in plans.page_records(spark, str(tmp_path)).collect()] == [("oak", 10)] * 2
+    links = spark.createDataFrame([(1, 5, 0.9), (2, 6, 0.95)], "page_id long, suburb_id int, confidence double")
+    monkeypatch.setattr(plans, "p5_links", lambda *_: links)
+    assert [tuple(r) for r in plans.p5_market(spark, str(tmp_path)).collect()] == [(6, date(2025, 1, 1), 5, 0.95)]
+
+
 # --- language ---------------------------------------------------------------
 
 

@@ -23,6 +23,12 @@ def name_form(c: Column) -> Column:
     return F.nullif(F.array_join(F.transform(F.split(low, " "), lambda w: F.coalesce(words[w], w)), " "), F.lit(""))
 
 
+def url_form(c: Column) -> Column:
+    """An address as all its variants have it: lower case, no scheme, www, query, fragment or slash at the end."""
+    low = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[?#].*$", ""), "^(https?:)?//", "")
+    return F.nullif(F.regexp_replace(F.regexp_replace(low, r"^www\.", ""), "/+$", ""), F.lit(""))
+
+
 def _ordered(c: Column) -> Column:
     """The words in a fixed order, so that a word in front or behind is the same name."""
     return F.array_join(F.array_sort(F.split(c, " ")), " ")
@@ -37,11 +43,11 @@ def _core(c: Column) -> Column:
 
 def page_records(spark: SparkSession, d: str) -> DataFrame:
     """One record of each page: both its names (heading and address), district, populations and place."""
-    pages = table(spark, d, "suburb_page")
-    market = table(spark, d, "market_snapshot").where("suburb_id is null and population > 0").groupBy("source_url").agg(F.mode("population", True).alias("sold_population"))
-    slug = F.regexp_replace(F.regexp_extract("source_url", "([^/]+)/?$", 1), "(-[0-9]+)+$", "")
+    pages = table(spark, d, "suburb_page").withColumn("url", url_form(F.col("source_url")))
+    market = table(spark, d, "market_snapshot").where("suburb_id is null and population > 0").groupBy(url_form(F.col("source_url")).alias("url")).agg(F.mode("population", True).alias("sold_population"))
+    slug = F.regexp_replace(F.regexp_extract("url", "([^/]+)$", 1), "(-[0-9]+)+$", "")
     slug = F.when(~slug.rlike("^[0-9]*$"), slug)
-    rows = pages.join(market, "source_url", "left").where("page_id is not null")
+    rows = pages.join(market, "url", "left").where("page_id is not null")
     heading = F.regexp_replace("heading", ",.*$", "")
     lon, lat = F.when(F.col("lon").between(160, 180), F.col("lon")), F.when(F.col("lat").between(-50, -30), F.col("lat"))
     return rows.select(
@@ -116,8 +122,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_market(spark: SparkSession, d: str) -> DataFrame:
     """How many market_snapshot rows without suburb_id each page's suburb gets, with the confidence."""
-    links = p5_links(spark, d).join(table(spark, d, "suburb_page").select("page_id", "source_url"), "page_id")
-    rows = table(spark, d, "market_snapshot").where("suburb_id is null and source_url is not null").select("source_url", "source_as_at").join(links, "source_url")
+    links = p5_links(spark, d).join(table(spark, d, "suburb_page").select("page_id", url_form(F.col("source_url")).alias("url")), "page_id")
+    # pages whose addresses are variants of one: the surest of them, so that a row counts once
+    best = links.groupBy("url").agg(F.max(F.struct("confidence", (-F.col("suburb_id")).alias("s"))).alias("b")).select("url", (-F.col("b.s")).alias("suburb_id"), "b.confidence")
+    rows = table(spark, d, "market_snapshot").where("suburb_id is null").select(url_form(F.col("source_url")).alias("url"), "source_as_at").join(best, "url")
     return rows.groupBy("suburb_id", "source_as_at").agg(F.count("*").alias("rows"), F.round(F.min("confidence"), 4).alias("least_confidence"))
 
 
