@@ -153,6 +153,16 @@ def test_blocks_split_hot_keys(spark):
     assert linkage.block(left.limit(0), right, [(F.array("k"), F.array("k"))], F.array("f")).count() == 0
 
 
+def test_hot_keys_keep_all_pairs(spark):
+    left = spark.createDataFrame([(i, "hot") for i in range(120)] + [(900, None), (901, "cold")], "id long, k string")
+    right = spark.createDataFrame([(i, "hot") for i in range(90)] + [(901, "cold")], "id long, k string")
+    want = {(i, j) for i in range(120) for j in range(90)} | {(901, 901)}
+    for most in (1, 50, 2_000, 1_000_000):
+        got = [tuple(r) for r in linkage.block(left, right, [(F.array("k"), F.array("k"))] * 2, most=most).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert linkage.block(left.limit(0), right, [(F.array("k"), F.array("k"))]).count() == 0
+
+
 def test_link_shares_probability(spark):
     pairs = [(i, 1000 + i, 2, 1) for i in range(200)] + [(i, 2000 + j, 0, 0) for i in range(200) for j in range(5)]
     pairs += [(500, 1, 2, 1), (500, 2, 2, 1), (501, 3, 0, None), (502, 4, 2, None)]

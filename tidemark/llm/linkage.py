@@ -18,22 +18,25 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpointed
 
 
-def block(left: DataFrame, right: DataFrame, passes: list[tuple[Column, Column]], extra: Column, most: int = 2_000) -> DataFrame:
+def block(left: DataFrame, right: DataFrame, passes: list[tuple[Column, Column]], extra: Column | None = None, most: int = 2_000) -> DataFrame:
     """(l, r): pairs that share a key in at least one pass.
 
-    left, right: id and attributes. A pass is an array of keys for each side. Keys that would make more than `most` pairs are not
-    used alone: there the key is joined with `extra` (an array of finer keys, of both sides) so that no group of any size
-    is paired within itself.
+    left, right: id and attributes. A pass is an array of keys for each side. A key that makes more than `most` pairs is cut into
+    salted blocks: a row of the left goes to one of them and a row of the right to all, so every pair is made, in tasks of a bounded
+    size. Only where `extra` (an array of finer keys, of both sides) is given are such keys not used alone but joined with it, and
+    their pairs that share no finer key left out.
     """
     def keyed(df: DataFrame, k: Column, n: int) -> DataFrame:
-        rows = df.select("id", F.explode(F.array_distinct(F.filter(k, lambda x: x.isNotNull()))).alias("k"), extra.alias("fine"))
+        rows = df.select("id", F.explode(F.array_distinct(F.filter(k, lambda x: x.isNotNull()))).alias("k"), (F.array() if extra is None else extra).cast("array<string>").alias("fine"))
         return rows.select("id", F.xxhash64(F.lit(n), "k").alias("k"), "fine")
 
     sides = []
     for i, df in enumerate((left, right)):
         sides.append(reduce(DataFrame.unionByName, [keyed(df, p[i], n) for n, p in enumerate(passes)]))
     counts = [s.groupBy("k").agg(F.count("*").alias(f"n{i}")) for i, s in enumerate(sides)]
-    size = checkpointed(counts[0].join(counts[1], "k").select("k", (F.col("n0") * F.col("n1") > most).alias("hot")))
+    pairs = F.col("n0") * F.col("n1")
+    # more blocks than rows on the left would only copy the right
+    size = checkpointed(counts[0].join(counts[1], "k").select("k", (pairs > most).alias("hot"), F.least("n0", F.ceil(pairs / most)).cast("int").alias("blocks")))
 
     def fitted(s: DataFrame) -> DataFrame:
         """The keys both sides have, hot ones refined."""
@@ -41,7 +44,15 @@ def block(left: DataFrame, right: DataFrame, passes: list[tuple[Column, Column]]
         fine = rows.where("hot").select("id", F.explode("fine").alias("f"), "k").where("f is not null").select("id", F.xxhash64("k", "f").alias("k"))
         return rows.where("not hot").select("id", "k").unionByName(fine)
 
-    return fitted(sides[0]).withColumnRenamed("id", "l").join(fitted(sides[1]).withColumnRenamed("id", "r"), "k").select("l", "r").distinct()
+    def salted(s: DataFrame, every: bool) -> DataFrame:
+        """The keys both sides have with the number of a block, or each of its numbers."""
+        rows = s.join(size, "k")
+        number = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if every else F.pmod(F.xxhash64("id"), "blocks").cast("int")
+        return rows.select("id", "k", number.alias("block"))
+
+    on = ["k"] if extra is not None else ["k", "block"]
+    l, r = (fitted(s) for s in sides) if extra is not None else (salted(s, i == 1) for i, s in enumerate(sides))  # noqa: E741
+    return l.withColumnRenamed("id", "l").join(r.withColumnRenamed("id", "r"), on).select("l", "r").distinct()
 
 
 def name_level(a: Column, b: Column) -> Column:

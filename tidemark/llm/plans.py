@@ -88,8 +88,7 @@ def page_pairs(spark: SparkSession, d: str) -> DataFrame:
         (at, place),
         same(pops),
     ]
-    fine = F.array(F.substring("district", 1, 3), F.concat(F.lit("p"), F.floor(F.log2(F.coalesce("sold_population", "population"))).cast("string")))
-    ids = linkage.block(pages, suburbs, passes, fine)
+    ids = linkage.block(pages, suburbs, passes)
     p, s = (df.select(*[F.col(c).alias(f"{x}_{c}") for c in df.columns]) for x, df in (("p", pages), ("s", suburbs)))
     pairs = ids.join(p, ids["l"] == F.col("p_id")).join(s, ids["r"] == F.col("s_id"))
     level = lambda c: linkage.name_level(_ordered(F.col(c)), _ordered(F.col("s_name")))
