@@ -234,3 +234,12 @@ def test_model(spark):
     p = model.out_of_fold(df, "id", "y", ["a", "b"])
     s = model.scores(p).first()
     assert s["rows"] == 300 and s["r2"] > 0.95 and model.bands(p, "id").where("confidence = 'high'").count() > 200
+
+
+def test_whole_valuation_is_calculated_and_dated(spark, small):
+    import __spark_entry__ as entry
+
+    v = spark.read.parquet(f"{small}/valuation.parquet")
+    assert v.where("cv > 0 and lv > 0").select("run_id").distinct().count() > 2
+    for name, rows in (("calculations_all", "cv > 0 and lv > 0"), ("serial_dates_all", "ru_id is not null")):
+        assert entry.queries()[name](spark, small).count() == v.where(rows).count()

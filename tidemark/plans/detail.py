@@ -237,7 +237,17 @@ def name_search(t: Tables) -> DataFrame:
 
 @query("calculations", "SELECT ru_id, cv + lv AS added, cv - lv AS subtracted, (cv + lv) / 2 AS mean, round((lv - cv) / abs(cv) * 100, 2) AS change FROM valuation WHERE cv > 0 AND lv > 0 AND run_id = 1")
 def calculations(t: Tables) -> DataFrame:
-    v = t.valuation.where("cv > 0 and lv > 0 and run_id = 1")
+    return calculated(t.valuation.where("run_id = 1"))
+
+
+@query("calculations_all", "SELECT ru_id, cv + lv AS added, cv - lv AS subtracted, (cv + lv) / 2 AS mean, round((lv - cv) / abs(cv) * 100, 2) AS change FROM valuation WHERE cv > 0 AND lv > 0")
+def calculations_all(t: Tables) -> DataFrame:
+    """The calculations over every run's valuations."""
+    return calculated(t.valuation)
+
+
+def calculated(valuations: DataFrame) -> DataFrame:
+    v = valuations.where("cv > 0 and lv > 0")
     op = lambda name: api.calculate(F.lit(name), F.col("cv").cast("double"), F.col("lv").cast("double"))
     return v.select("ru_id", op("add").alias("added"), op("subtract").alias("subtracted"), op("mean").alias("mean"), F.round(op("percent_change"), 2).alias("change"))
 
@@ -293,8 +303,18 @@ def area_labels(t: Tables) -> DataFrame:
 
 @query("serial_dates", "SELECT ru_id, valuation_date AS back FROM valuation WHERE ru_id IS NOT NULL AND run_id = 2")
 def serial_dates(t: Tables) -> DataFrame:
+    return dates_back(t.valuation.where("run_id = 2"))
+
+
+@query("serial_dates_all", "SELECT ru_id, valuation_date AS back FROM valuation WHERE ru_id IS NOT NULL")
+def serial_dates_all(t: Tables) -> DataFrame:
+    """The dates of every run's valuations from their serial numbers."""
+    return dates_back(t.valuation)
+
+
+def dates_back(valuations: DataFrame) -> DataFrame:
     n = F.datediff("valuation_date", F.lit("1899-12-30").cast("date"))
-    return t.valuation.where("ru_id is not null and run_id = 2").select("ru_id", serial_date(n, "2000-01-01", "2030-01-01").alias("back"))
+    return valuations.where("ru_id is not null").select("ru_id", serial_date(n, "2000-01-01", "2030-01-01").alias("back"))
 
 
 @query("rounded_rents")
