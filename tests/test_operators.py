@@ -243,3 +243,17 @@ def test_whole_valuation_is_calculated_and_dated(spark, small):
     assert v.where("cv > 0 and lv > 0").select("run_id").distinct().count() > 2
     for name, rows in (("calculations_all", "cv > 0 and lv > 0"), ("serial_dates_all", "ru_id is not null")):
         assert entry.queries()[name](spark, small).count() == v.where(rows).count()
+
+
+def test_labels_and_sources_in_any_spelling(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    labels = ["en", "en-NZ", "en_nz", "EN", " en", "mi", None]
+    sources = ["plan_clause", "Plan-Clause", " plan clause ", "PLAN_CLAUSE", "listing", None, "plan__clause"]
+    docs = [(3 * i + 1, "A beach.", a, b) for i, (a, b) in enumerate(zip(labels, sources))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(z,) for z in (1, 4, 7, 19, 49)], "planning_zone_code int").write.parquet(f"{tmp_path}/rating_unit.parquet")
+    run = lambda name: sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    assert [r[0] for r in run("text_traits")] == [1, 4, 7, 10, 13] and run("trait_coverage") == [("coastal", 5)]
+    assert run("zone_map_all") == [(1, 1, 1), (4, 1, 4), (7, 1, 7), (19, 1, 19)]
+    assert run("clause_coverage_all") == [(5, 4)] and run("clauses_of_zone_all") == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import label_form, source_form
 from tidemark.llm import language, linkage, mixing, percentiles, tokens
 from tidemark.session import checkpointed
 from tidemark.sources.tables import table
@@ -180,16 +181,6 @@ MIX_SHARE = 0.5
 LANGUAGES = ["en", "mi", "zh", "de", "fr", "es", "pt", "nl"]
 
 
-def source_form(c: Column) -> Column:
-    """A source's name as mix_target has it: trimmed, lower case, underscores between words."""
-    return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-_]+", "_")
-
-
-def label_form(c: Column) -> Column:
-    """A language label as a code: trimmed, lower case, cut at the first - or _."""
-    return F.element_at(F.split(F.lower(F.trim(c)), "[-_]"), 1)
-
-
 def _targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
     # fixed: one row for each source
     return {r[0]: (r[1], r[2]) for r in table(spark, d, "mix_target").select("source", "target_share", "max_repeat").where("source is not null").collect()}

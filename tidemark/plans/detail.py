@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import area_m2, has_han, haversine_km, name_key, python_round, ratio, serial_date, trim_to_sentence
+from tidemark.functions.scalars import area_m2, has_han, haversine_km, label_form, name_key, python_round, ratio, serial_date, trim_to_sentence
 from tidemark.operators import api, grid, model, quality, text
 from tidemark.plans.registry import Registry, Tables
 from tidemark.plans.views import _OVERVIEW, CURRENT_ROUND, LEAST_UNITS, _CURRENT, _ROUNDS, current, overview, rounds_on
@@ -341,12 +341,12 @@ def trimmed_texts(t: Tables) -> DataFrame:
 @query("text_traits")
 def text_traits(t: Tables) -> DataFrame:
     """Traits of each English text with the words that show them."""
-    return text.traits(t.documents.where("lang = 'en'"), "doc_id", "text").select("doc_id", F.explode("traits").alias("trait", "evidence"))
+    return text.traits(t.documents.where(label_form(F.col("lang")) == "en"), "doc_id", "text").select("doc_id", F.explode("traits").alias("trait", "evidence"))
 
 
 @query("trait_coverage")
 def trait_coverage(t: Tables) -> DataFrame:
-    return text.coverage(text.traits(t.documents.where("lang = 'en'"), "doc_id", "text"))
+    return text.coverage(text.traits(t.documents.where(label_form(F.col("lang")) == "en"), "doc_id", "text"))
 
 
 _MONEY = r"\$[0-9][0-9,]*(?:\.[0-9]+)?[mk]?"
