@@ -2,18 +2,25 @@
 
 Weights run down a tree (domain, language, source); each node shares its budget among its children by weight, no
 child getting more than it can give (its tokens times the allowed repeats), and what one cannot give goes to its
-siblings before the node above hears of it. Each leaf then reads its documents in seeded epochs, each in its own order,
-up to its budget.
+siblings before the node above hears of it. Each leaf then reads its documents in a seeded order, epoch after epoch, and
+takes what fits its budget, stepping over documents longer than the rest. What is then left of a leaf's budget goes to the next leaf of its
+source; what a whole source leaves over is a shortage, which runs through the tree again.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpointed
 
-BUCKET_BITS = 12
+#: A leaf's order is cut into 2 ** bits ranges, at least so many bits, and more where a range would hold over 4,096 documents.
+RANGE_BITS, RANGE_DOCS = 12, 4_096
+#: Documents behind the cut of a leaf that are tried for what is left of its budget.
+AHEAD = 1_000
+PATH = ["domain", "language", "source"]
 
 
 def share_out(budget: float, weights: list[float], limits: list[float]) -> list[float]:
@@ -52,6 +59,119 @@ def budgets(leaves: list[tuple[tuple[str, ...], float, float]], total: float) ->
     return below(leaves, 0, total) if leaves else {}
 
 
+def first_fit(tokens: np.ndarray, room: float) -> np.ndarray:
+    """Which documents are taken in their order if each one that still fits is taken."""
+    took, at = np.zeros(len(tokens), dtype=bool), 0
+    while at < len(tokens):
+        # the run that fits, then on from the next document that fits what is left
+        run = int(np.searchsorted(np.cumsum(tokens[at:]), room, side="right"))
+        took[at : at + run] = True
+        room -= float(tokens[at : at + run].sum())
+        small = np.flatnonzero(tokens[at + run :] <= room)
+        if not len(small):
+            break
+        at += run + int(small[0])
+    return took
+
+
+def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents taken at the cuts of one source's leaves.
+
+    What a leaf can't use goes to the next one, the last having most to give, and then once more to all that have a document which
+    fits; in the end one more document is taken if that comes closer to the source's budget.
+    """
+    rows = pdf.sort_values(["turn", "domain", "language", "place", "key"], kind="stable")
+    tokens, took, carry = rows["tokens"].to_numpy(np.int64), np.zeros(len(rows), dtype=bool), 0.0
+    leaf = rows.groupby("turn").ngroup().to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+    spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]))
+    rooms = rows["room"].to_numpy(float)
+    for a, b in spans:
+        room = rooms[a] + carry
+        took[a:b] = first_fit(tokens[a:b], room)
+        carry = room - float(tokens[a:b][took[a:b]].sum())
+    for a, b in reversed(spans):
+        free = np.flatnonzero(~took[a:b]) + a
+        more = free[first_fit(tokens[free], carry)]
+        took[more] = True
+        carry -= float(tokens[more].sum())
+    off = np.where(took, np.inf, np.abs(tokens - carry))
+    if len(off) and off.min() < carry:
+        took[off.argmin()] = True
+    return rows.assign(more=took.astype(np.int32))[["key", *PATH, "tokens", "full", "more"]]
+
+
+def draw(docs: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None, share_of_all: float | None = None, seed: int = 11) -> tuple[DataFrame, list[tuple]]:
+    """(the rows of mix(), the leaves as (domain, language, source, the source's tokens in the first plan, limit, budget, tokens reached))."""
+    spark = docs.sparkSession
+    rows = docs.select("key", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in PATH[:2]], "source", F.col("tokens").cast("long").alias("tokens")).where(F.col("source").isin(list(targets)) & (F.col("tokens") > 0) & F.col("key").isNotNull())
+    rows = checkpointed(rows)
+    held = {tuple(r[:3]): (r[3], r[4]) for r in rows.groupBy(*PATH).agg(F.sum("tokens"), F.count("*")).collect()}
+    if not held:
+        return rows.select("key", *PATH, "tokens", F.lit(0).alias("copies")), []
+    by_source: dict[str, int] = {}
+    for p, (n, _) in held.items():
+        by_source[p[2]] = by_source.get(p[2], 0) + n
+    usual = min(n / sum(k for p, (_, k) in held.items() if p[2] == s) for s, n in by_source.items())
+    size = total if total is not None else (share_of_all or 0.0) * sum(by_source.values())
+    weight = {p: targets[p[2]][0] * n / by_source[p[2]] for p, (n, _) in held.items()}
+    limit = {p: float(n * targets[p[2]][1]) for p, (n, _) in held.items()}
+    bits = min(20, max(RANGE_BITS, int(np.ceil(np.log2(max(1, max(k for _, k in held.values()) / RANGE_DOCS))))))
+    # an order for each leaf, the same whatever its budget, so that a larger budget reads on where a smaller one ended
+    rows = rows.withColumn("place", F.xxhash64(F.lit(seed), *PATH, "key")).withColumn("range", F.shiftrightunsigned("place", 64 - bits))
+    wish: dict[str, float] = {}
+    sums = checkpointed(rows.groupBy(*PATH, "range").agg(F.sum("tokens").alias("own"), F.count("*").alias("docs")))
+    most = {p: targets[p[2]][1] for p in held}
+    closed: dict[tuple, float] = {}
+    while True:
+        plan = budgets([(p, weight[p], closed.get(p, limit[p])) for p in held], size)
+        wish = wish or {s: sum(plan[p] for p in held if p[2] == s) for s in by_source}
+        turn = sorted(held, key=lambda p: (limit[p] - plan[p], p))
+        # as many rows as the tree has leaves
+        cut = [(*p, int((plan[p] + 1e-6) // held[p][0]), float(plan[p] - held[p][0] * int((plan[p] + 1e-6) // held[p][0])), turn.index(p)) for p in held]
+        unspent = [c for c in cut if c[3] < most[tuple(c[:3])]]
+        plan_df = F.broadcast(spark.createDataFrame(unspent, "domain string, language string, source string, full int, rest double, turn int"))
+        w = Window.partitionBy(*PATH).orderBy("range")
+        line = sums.join(plan_df, PATH).withColumns({"before": F.sum("own").over(w) - F.col("own"), "docs_before": F.sum("docs").over(w) - F.col("docs")})
+        line = line.withColumn("behind", F.col("before") + F.col("own") > F.col("rest"))
+        start = F.min(F.when(F.col("behind"), F.struct("range", "before", "docs_before"))).over(Window.partitionBy(*PATH)).alias("s")
+        edge = line.select(*PATH, "range", "docs_before", "full", "rest", "turn", "behind", start).where(f"behind and docs_before - s.docs_before < {AHEAD}")
+        # a leaf's cut is at most AHEAD documents and a range long: a few ranges of each leaf
+        edge = checkpointed(edge.select(*PATH, "range", "full", "turn", (F.col("rest") - F.col("s.before")).alias("room"), F.col("s.range").alias("first_edge")))
+        near = rows.join(F.broadcast(edge), [*PATH, "range"])
+        kind = dict(rows.dtypes)["key"]
+        filled = checkpointed(near.select("key", *PATH, "tokens", "place", "full", "turn", "room").groupBy("source").applyInPandas(_fill, f"key {kind}, domain string, language string, source string, tokens long, full int, more int"))
+        got = {tuple(r[:3]): (r[3], r[4]) for r in filled.groupBy(*PATH).agg(F.sum(F.col("more") * F.col("tokens")), F.count_if(F.col("more") == 0)).collect()}
+        firsts = {tuple(r[:3]): (r[3], r[4]) for r in edge.groupBy(*PATH).agg(F.first("first_edge"), F.first("room")).collect()}
+        reached = {}
+        for *p, full, rest, _ in cut:
+            p = tuple(p)
+            # tokens of the ranges before the cut: rest - room
+            reached[p] = held[p][0] * full + (rest - firsts[p][1] + got[p][0] if p in firsts else 0.0)
+        again = False
+        for s in by_source:
+            own = [p for p in held if p[2] == s and p not in closed]
+            short = sum(plan[p] - reached[p] for p in held if p[2] == s)
+            if short <= usual or not own:
+                continue
+            again = True
+            # leaves with documents left have none that fits; those read to the end may begin another epoch
+            able = [p for p in own if p in got and not got[p][1] and reached[p] < limit[p]]
+            closed |= {p: reached[p] for p in own if p not in able}
+            spare = sum(limit[p] - reached[p] for p in able)
+            for p in held:
+                if p[2] == s:
+                    weight[p] = (reached[p] + (short * (limit[p] - reached[p]) / spare if p in able else 0.0)) / size
+        if not again:
+            break
+    first_df = F.broadcast(spark.createDataFrame([(*p, full, firsts[p][0] if p in firsts else None) for *path, full, _, _ in cut for p in [tuple(path)]], "domain string, language string, source string, full int, first_edge long"))
+    last_edge = F.broadcast(edge.select(*PATH, "range").withColumn("at_edge", F.lit(True)))
+    rest_rows = rows.join(first_df, PATH).join(last_edge, [*PATH, "range"], "left").where("at_edge is null")
+    outside = rest_rows.select("key", *PATH, "tokens", "full", F.coalesce((F.col("range") < F.col("first_edge")).cast("int"), F.lit(0)).alias("more"))
+    out = outside.unionByName(filled).withColumn("copies", F.col("full") + F.col("more")).where("copies > 0")
+    return out.select("key", *PATH, "tokens", F.col("copies").cast("int").alias("copies")), [(*p, wish[p[2]], limit[p], plan[p], float(reached[p])) for p in sorted(held)]
+
+
 def mix(docs: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None, share_of_all: float | None = None, seed: int = 11) -> DataFrame:
     """(key, domain, language, source, tokens, copies): the documents drawn and how often each is used.
 
@@ -59,38 +179,25 @@ def mix(docs: DataFrame, targets: dict[str, tuple[float, int]], total: float | N
     in tokens, or share_of_all gives it as a share of all tokens of the sources that have a target. Documents whose source is
     null or has no target, or without tokens, are not drawn. A source's weight is split over its domains and
     languages by the tokens they hold. If all sources together cannot give the total, each gives what it can. A leaf's
-    last epoch ends at the document that brings it closest to its budget, the first in its order at equal distance. Null domains or
+    last epoch takes, in its order, every document that still fits, among those up to AHEAD documents behind the first that does not; its remainder
+    goes to the source's next leaf, and the last leaf takes one more document if that comes closer. A source that ends short by more than
+    a document of the mean length (of the source where that is least) gives the shortage to its leaves that may begin another epoch, and if there is none, holds at what
+    it reached and leaves its shortage to the tree. Null domains or
     languages count as ''. The tree, with one node for each combination of domain, language and
-    source, is the only thing the driver holds; leaves of any size are cut by sums over 4,096 ranges of their
-    order and only the range that holds the cut is put in order.
+    source, is the only thing the driver holds; leaves of any size are cut by sums over ranges of their
+    order and only the documents near the cut are put in order.
     """
-    spark = docs.sparkSession
-    rows = docs.select("key", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("domain", "language")], "source", "tokens").where(F.col("source").isin(list(targets)) & (F.col("tokens") > 0) & F.col("key").isNotNull())
-    rows = checkpointed(rows)
-    path = ["domain", "language", "source"]
-    held = {tuple(r[:3]): r[3] for r in rows.groupBy(*path).agg(F.sum("tokens")).collect()}
-    by_source: dict[str, int] = {}
-    for p, n in held.items():
-        by_source[p[2]] = by_source.get(p[2], 0) + n
-    size = total if total is not None else (share_of_all or 0.0) * sum(by_source.values())
-    leaves = [(p, targets[p[2]][0] * n / by_source[p[2]], float(n * targets[p[2]][1])) for p, n in held.items()]
-    plan = budgets(leaves, size)
-    cut = [(*p, int((b + 1e-6) // held[p]), float(b - held[p] * int((b + 1e-6) // held[p]))) for p, b in plan.items()]
-    # as many rows as the tree has leaves
-    plan_df = F.broadcast(spark.createDataFrame(cut, "domain string, language string, source string, full int, rest double")) if cut else spark.createDataFrame([], "domain string, language string, source string, full int, rest double")
-    rows = rows.join(plan_df, path).withColumn("place", F.xxhash64(F.lit(seed), "full", *path, "key")).withColumn("range", F.shiftrightunsigned("place", 64 - BUCKET_BITS))
-    sums = rows.groupBy(*path, "range").agg(F.sum("tokens").alias("own"), F.first("rest").alias("rest"))
-    before = F.sum("own").over(Window.partitionBy(*path).orderBy("range")) - F.col("own")
-    sums = sums.withColumn("before", before).where("before < rest")
-    rows = rows.join(sums.select(*path, "range", "own", "before"), [*path, "range"], "left")
-    whole = F.col("before").isNotNull() & (F.col("before") + F.col("own") <= F.col("rest"))
-    edge = F.col("before").isNotNull() & ~whole
-    w = Window.partitionBy(*path, "range").orderBy(F.shiftleft("place", BUCKET_BITS), "key")
-    done = rows.where(~edge).withColumn("more", whole.cast("int"))
-    last = rows.where(edge).withColumn("upto", F.col("before") + F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    last = last.withColumn("more", (F.col("upto") - F.col("tokens") / 2.0 <= F.col("rest")).cast("int")).drop("upto")
-    out = done.unionByName(last).withColumn("copies", F.col("full") + F.coalesce("more", F.lit(0)))
-    return out.where("copies > 0").select("key", *path, "tokens", F.col("copies").cast("int").alias("copies"))
+    return draw(docs, targets, total, share_of_all, seed)[0]
+
+
+LEAVES = "domain string, language string, source string, source_plan double, most double, budget double, tokens double"
+
+
+def leaf_report(docs: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None, share_of_all: float | None = None, seed: int = 11) -> DataFrame:
+    """(domain, language, source, source_plan, most, budget, tokens, short): what each leaf was to give, can give and gives; source_plan
+    is the whole source's budget in the first plan, before any shortage was seen."""
+    rows = draw(docs, targets, total, share_of_all, seed)[1]
+    return docs.sparkSession.createDataFrame(rows, LEAVES).withColumn("short", F.col("budget") - F.col("tokens"))
 
 
 def shares(drawn: DataFrame, targets: dict[str, tuple[float, int]]) -> DataFrame:

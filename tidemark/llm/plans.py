@@ -186,7 +186,8 @@ def _targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
     return {r[0]: (r[1], r[2]) for r in table(spark, d, "mix_target").select("source", "target_share", "max_repeat").where("source is not null").collect()}
 
 
-def _drawn(spark: SparkSession, d: str, targets: dict[str, tuple[float, int]]) -> DataFrame:
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its leaf in the tree and its size in tokens."""
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("key"),
         F.when(F.col("suburb_id").isNull(), "general").otherwise("place").alias("domain"),
@@ -194,18 +195,40 @@ def _drawn(spark: SparkSession, d: str, targets: dict[str, tuple[float, int]]) -
         source_form(F.col("source")).alias("source"),
         "text",
     )
-    return mixing.mix(tokens.count_tokens(docs), targets, share_of_all=MIX_SHARE)
+    return tokens.count_tokens(docs)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of a mix half the size of the corpus, and how often each is used."""
-    return _drawn(spark, d, _targets(spark, d)).select(F.col("key").alias("doc_id"), "source", "tokens", "copies")
+    return mixing.mix(_sized(spark, d), _targets(spark, d), share_of_all=MIX_SHARE).select(F.col("key").alias("doc_id"), "source", "tokens", "copies")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares that the mix reaches."""
     targets = _targets(spark, d)
-    return mixing.shares(_drawn(spark, d, targets), targets)
+    return mixing.shares(mixing.mix(_sized(spark, d), targets, share_of_all=MIX_SHARE), targets)
+
+
+def p9_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """What each leaf of the tree was to give, can give, gives and lacks."""
+    return mixing.leaf_report(_sized(spark, d), _targets(spark, d), share_of_all=MIX_SHARE)
+
+
+def p9_bound(spark: SparkSession, d: str) -> DataFrame:
+    """For each target: whether its share is within 0.005 of its plan or within a mean document of it, and whether the mix is within a median
+    document of its size. A hundred documents are too few for either."""
+    docs, targets = checkpointed(_sized(spark, d)), _targets(spark, d)
+    own = docs.where(F.col("source").isin(list(targets)) & (F.col("tokens") > 0)).agg(F.sum("tokens").alias("all"), F.median("tokens").alias("usual"))
+    mean = docs.where("tokens > 0").groupBy("source").agg(F.avg("tokens").alias("mean"))
+    leaves = mixing.leaf_report(docs, targets, share_of_all=MIX_SHARE).groupBy("source").agg(F.first("source_plan").alias("budget"), F.sum("tokens").alias("tokens")).join(mean, "source")
+    whole = leaves.agg(F.sum("budget").alias("planned"), F.sum("tokens").alias("reached"))
+    want = spark.createDataFrame([(s, float(w)) for s, (w, _) in targets.items()], "source string, target_share double")
+    rows = want.join(leaves, "source", "left").fillna(0.0, ["budget", "tokens", "mean"]).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(own))  # one row each
+    off = F.abs(F.col("tokens") - F.col("budget") * F.col("reached") / F.col("planned"))
+    return rows.select("source", "target_share", (off <= F.greatest(F.col("reached") * 0.005, "mean")).alias("share_met"), (F.abs(F.col("reached") - MIX_SHARE * F.col("all")) <= F.col("usual")).alias("size_met"))
+
+
+P9_BOUND_SQL = "SELECT source, target_share, TRUE AS share_met, TRUE AS size_met FROM mix_target WHERE source IS NOT NULL"
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
@@ -233,5 +256,5 @@ def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("doc_id", F.explode("stretches").alias("s")).select("doc_id", "s.start", "s.end", "s.lang", F.round("s.confidence", 3).alias("confidence"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_links": p5_links, "p5_market": p5_market, "p6_percentiles": p6_percentiles, "p6_by_year": p6_by_year, "p6_bound": p6_bound, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages, "p10_stretches": p10_stretches}
-SQL = {"p6_bound": P6_BOUND_SQL, "p8_round_trip": P8_ROUND_TRIP_SQL}
+QUERIES = {"p5_found": p5_found, "p5_links": p5_links, "p5_market": p5_market, "p6_percentiles": p6_percentiles, "p6_by_year": p6_by_year, "p6_bound": p6_bound, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_leaves": p9_leaves, "p9_bound": p9_bound, "p10_found": p10_found, "p10_languages": p10_languages, "p10_stretches": p10_stretches}
+SQL = {"p6_bound": P6_BOUND_SQL, "p9_bound": P9_BOUND_SQL, "p8_round_trip": P8_ROUND_TRIP_SQL}
