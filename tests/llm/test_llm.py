@@ -287,7 +287,53 @@ def test_held_out_and_mixed(reader):
     lang, _, stretches = got[6]
     assert lang == "en" and [s[2] for s in stretches] == ["en", "zh", "en"]
     assert [s[0] for s in stretches][1:] == [s[1] for s in stretches][:-1]
-    assert got[7][0] == "de" and len(got[7][2]) == 1
+    assert got[7][0] == "de" and len(got[7][2]) == 1 and got[7][2][0][:2] == (0, len(LANGS["de"]) * 400)
+
+
+def test_changes_without_full_stops_and_short_sentences(reader):
+    en, de, zh = LANGS.values()
+    both = en.rstrip(".").replace(".", "") + " " + de.rstrip(".").replace(".", "")
+    lang, _, stretches = reader.read([both])[0]
+    assert [s[2] for s in stretches] == ["en", "de"] and abs(stretches[0][1] - len(en)) < 25 and stretches[0][1] == stretches[1][0] and all(s[5] for s in stretches)
+    # an ideograph is one character of the text's size, however many bytes it has
+    assert reader.read([en + " " + zh])[0][0] == "en"
+    # lone letters, as in units, are no words
+    assert reader.read(["812-4 / 711 m2 / -36.1, 174.2"])[0] == (None, None, [])
+    a = reader.read([en + " 港口附近。" + en])[0][2]
+    assert [s[2] for s in a] == ["en", "zh", "en"] and a[1][4] == 4
+    assert reader.read(["<" + "b" * 3_000 + ">" + de])[0][0] == "de"
+
+
+def test_pieces_like_a_loop():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab é.!? \n\"。中1m2<>&;") for _ in range(rng.randrange(60))) for _ in range(200)]
+    together = language.Pieces(texts)
+    alone = [language.Pieces([t]) for t in texts]
+    assert together.read == [r for p in alone for r in p.read]
+    assert together.start.tolist() == [a for p in alone for a in p.start.tolist()] and together.end.tolist() == [a for p in alone for a in p.end.tolist()]
+    for i, r in enumerate(together.read):
+        t = texts[together.text[i]]
+        assert r == b" ".join(w.encode() for w in r.decode().split()) + b" " and len(together.places(i)) == len(r.decode())
+        assert all(c == " " or t[k].lower() == c for c, k in zip(r.decode(), together.places(i)))
+
+
+def test_best_path_like_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(10)
+    for _ in range(30):
+        s, c = rng.normal(size=(5, 1, 3)), rng.uniform(0, 2, (5, 1))
+        total = lambda k: sum(s[i, 0, x] for i, x in enumerate(k)) - sum(c[i, 0] for i in range(1, 5) if k[i] != k[i - 1])  # noqa: E731, B023
+        assert tuple(language._path(s, c)[:, 0]) == max(itertools.product(range(3), repeat=5), key=total)
+
+
+def test_network_is_kept(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(language, "fit", lambda t, y, k: calls.append(1) or gru.ByteGru(2, 4))
+    a = language.fitted(spark, [b"ab ", b"cd "], np.array([0, 1]), ["x", "y"])
+    language._FITTED.clear()
+    b = language.fitted(spark, [b"ab ", b"cd "], np.array([0, 1]), ["x", "y"])
+    assert len(calls) <= 1 and all((a.p[k] == b.p[k]).all() for k in a.p)
 
 
 def test_cleaning():
@@ -314,6 +360,28 @@ def test_identify(spark):
         language.fit = old
 
 
+def test_languages_of_the_tables(spark):
+    """At sf0.01 the rows of p10_found are consistent, and unmixed documents mostly have the language they are labelled with."""
+    from pathlib import Path
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    got = plans.p10_found(spark, folder).collect()
+    labels = {r[0]: r[1] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", plans.label_form(F.col("lang"))).collect()}
+    assert {r["lang"] for r in got} <= set(plans.LANGUAGES) and {r["role"] for r in got} == {"label", "mixed"} and len(got) == len(set(map(tuple, got)))
+    wrong = {r["doc_id"]: r["lang"] for r in got if r["role"] == "label"}
+    assert all(labels[i] != k for i, k in wrong.items())
+    several = Counter(r["doc_id"] for r in got if r["role"] == "mixed")
+    assert several and min(several.values()) > 1 and max(several.values()) < 5
+    named = [i for i, k in labels.items() if k in plans.LANGUAGES]
+    assert sum(i in wrong for i in named) < 0.1 * len(named)
+    whole = {r["doc_id"]: r for r in plans.p10_languages(spark, folder).collect()}
+    assert len(whole) == len(labels) and all(whole[i]["lang"] == k for i, k in wrong.items())
+    parts = plans.p10_stretches(spark, folder).collect()
+    assert all(r["start"] < r["end"] and 0 < r["confidence"] <= 1 for r in parts) and {r["doc_id"] for r in parts} == {i for i, r in whole.items() if r["lang"]}
+
+
 def test_label_forms(spark):
     """Labels and sources written differently."""
     assert spark.range(1).select(plans.label_form(F.lit(" EN_nz ")), plans.source_form(F.lit(" Zoning-FAQ "))).first()[:] == ("en", "zoning_faq")

@@ -239,7 +239,7 @@ def _languages(spark: SparkSession, d: str) -> DataFrame:
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The language of documents whose label does not name it, and the languages of mixed documents."""
     got = _languages(spark, d)
-    all_langs = F.array_distinct(F.transform("stretches", lambda s: s["lang"]))
+    all_langs = F.array_distinct(F.transform(F.filter("stretches", lambda s: s["whole"]), lambda s: s["lang"]))
     wrong = F.when(~F.coalesce(F.col("label") == F.col("lang"), F.lit(False)), F.array(F.struct("lang", F.lit("label").alias("role"))))
     mixed = F.when(F.size(all_langs) > 1, F.transform(all_langs, lambda x: F.struct(x.alias("lang"), F.lit("mixed").alias("role"))))
     rows = got.where("lang is not null").select("doc_id", F.explode(F.concat(F.coalesce(wrong, F.array()), F.coalesce(mixed, F.array()))).alias("r"))
