@@ -188,14 +188,6 @@ def test_em_finds_levels():
     assert model.prior == pytest.approx(0.05, abs=0.01) and model.m[0][2] == pytest.approx(0.8, abs=0.05) and model.u[2][1] == pytest.approx(0.1, abs=0.03)
 
 
-def test_blocks_split_hot_keys(spark):
-    left = spark.createDataFrame([(i, "hot", f"f{i % 50}") for i in range(300)] + [(900, None, "f1"), (901, "cold", None)], "id long, k string, f string")
-    right = spark.createDataFrame([(i, "hot", f"f{i % 50}") for i in range(300)] + [(901, "cold", None)], "id long, k string, f string")
-    got = {tuple(r) for r in linkage.block(left, right, [(F.array("k"), F.array("k"))], F.array("f")).collect()}
-    assert got == {(i, j) for i in range(300) for j in range(300) if i % 50 == j % 50} | {(901, 901)}
-    assert linkage.block(left.limit(0), right, [(F.array("k"), F.array("k"))], F.array("f")).count() == 0
-
-
 def test_hot_keys_keep_all_pairs(spark):
     left = spark.createDataFrame([(i, "hot") for i in range(120)] + [(900, None), (901, "cold")], "id long, k string")
     right = spark.createDataFrame([(i, "hot") for i in range(90)] + [(901, "cold")], "id long, k string")
@@ -204,6 +196,16 @@ def test_hot_keys_keep_all_pairs(spark):
         got = [tuple(r) for r in linkage.block(left, right, [(F.array("k"), F.array("k"))] * 2, most=most).collect()]
         assert len(got) == len(want) and set(got) == want
     assert linkage.block(left.limit(0), right, [(F.array("k"), F.array("k"))]).count() == 0
+    spread = linkage.block(left, right, [(F.array("k"), F.array("k"))], most=50, pairs_a_part=500)
+    assert {tuple(r) for r in spread.collect()} == want and spread.rdd.getNumPartitions() == 22
+
+
+def test_links_keep_low_confidences(spark, small):
+    links = {r["page_id"]: r for r in plans.p5_links(spark, small).collect()}
+    found = {r["page_id"]: r["suburb_id"] for r in plans.p5_found(spark, small).collect()}
+    assert found == {k: r["suburb_id"] for k, r in links.items() if r["confidence"] >= 0.8} and found
+    pages = {r[0] for r in spark.read.parquet(f"{small}/suburb_page.parquet").select("page_id").collect()}
+    assert set(links) <= pages and all(0 <= r["confidence"] <= 1 for r in links.values())
 
 
 def test_link_shares_probability(spark):

@@ -336,13 +336,13 @@ def fit(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: int
 _FITTED: dict[str, ByteGru] = {}
 
 
-def fitted(spark: SparkSession, texts: list[bytes], labels: np.ndarray, languages: list[str]) -> ByteGru:
-    """The network of a sample: trained once, then kept by the sample's digest in the shared folder."""
+def fitted(spark: SparkSession, texts: list[bytes], labels: np.ndarray, languages: list[str], anew: bool = False) -> ByteGru:
+    """The network of a sample: trained once, then kept by the sample's digest in the shared folder; with anew, trained in any case."""
     mark = hashlib.sha256(b"\n".join([",".join(languages).encode(), labels.tobytes(), *texts])).hexdigest()[:32]
-    if mark not in _FITTED:
+    if anew or mark not in _FITTED:
         fs, path = shared_folder(spark, "language-networks")
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{mark}.npz")
-        if fs.exists(at):
+        if fs.exists(at) and not anew:
             stream = fs.open(at)
             _FITTED[mark] = ByteGru.restored(np.load(io.BytesIO(bytes(stream.readAllBytes()))))
             stream.close()
@@ -363,18 +363,19 @@ def fitted(spark: SparkSession, texts: list[bytes], labels: np.ndarray, language
 STRETCH = "array<struct<start:int,end:int,lang:string,confidence:double,letters:int,whole:boolean>>"
 
 
-def identify(docs: DataFrame, key: str, text: str, label: Column, languages: list[str], per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, key: str, text: str, label: Column, languages: list[str], per_language: int = SAMPLE_PER_LANGUAGE, anew: bool = False) -> DataFrame:
     """(key, label, lang, confidence, stretches): the language of each document and of each of its stretches.
 
     Texts that are null, empty or without words have a null language and no stretches. Stretches are in the order of the
     text, with borders in characters of the text as given, and say whether they hold a whole sentence. Every document is read whole; only training uses the
-    bounded sample. If no row carries a known label, every language is null. Extra columns are not read.
+    bounded sample. If no row carries a known label, every language is null. Extra columns are not read. A network that was trained on the same sample before
+    is used again, unless anew is set.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), label.cast("string").alias("label"))
     kind = dict(rows.dtypes)["key"]
     texts, labels = sample(docs, F.col(key), F.col(text), label, languages, per_language)
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(fitted(spark, texts, labels, languages) if texts else None)
+    shared = spark.sparkContext.broadcast(fitted(spark, texts, labels, languages, anew) if texts else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(shared.value, languages) if shared.value else None

@@ -9,40 +9,32 @@ candidates and for having none.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, parts_for
 
 
-def block(left: DataFrame, right: DataFrame, passes: list[tuple[Column, Column]], extra: Column | None = None, most: int = 2_000) -> DataFrame:
-    """(l, r): pairs that share a key in at least one pass.
+def block(left: DataFrame, right: DataFrame, passes: list[tuple[Column, Column]], most: int = 2_000, pairs_a_part: int | None = None) -> DataFrame:
+    """(l, r): every pair that shares a key in at least one pass, once.
 
-    left, right: id and attributes. A pass is an array of keys for each side. A key that makes more than `most` pairs is cut into
-    salted blocks: a row of the left goes to one of them and a row of the right to all, so every pair is made, in tasks of a bounded
-    size. Only where `extra` (an array of finer keys, of both sides) is given are such keys not used alone but joined with it, and
-    their pairs that share no finer key left out.
+    left, right: id and attributes. A pass is an array of keys for each side; null keys are none. A key that makes more than `most` pairs is
+    cut into salted blocks: a row of the left goes to one of them and a row of the right to all, so every pair is made, in
+    tasks of a bounded size. With pairs_a_part the pairs are spread over as many partitions as their number asks for.
     """
-    def keyed(df: DataFrame, k: Column, n: int) -> DataFrame:
-        rows = df.select("id", F.explode(F.array_distinct(F.filter(k, lambda x: x.isNotNull()))).alias("k"), (F.array() if extra is None else extra).cast("array<string>").alias("fine"))
-        return rows.select("id", F.xxhash64(F.lit(n), "k").alias("k"), "fine")
+    def keyed(df: DataFrame, side: int) -> DataFrame:
+        """All passes by one explode of (pass, key)."""
+        each = [F.transform(F.coalesce(p[side].cast("array<string>"), F.array().cast("array<string>")), lambda k, n=n: F.struct(F.lit(n).alias("n"), k.alias("k"))) for n, p in enumerate(passes)]
+        rows = df.select("id", F.explode(F.array_distinct(F.concat(*each))).alias("k")).where("k.k is not null")
+        return rows.select("id", F.xxhash64("k.n", "k.k").alias("k"))
 
-    sides = []
-    for i, df in enumerate((left, right)):
-        sides.append(reduce(DataFrame.unionByName, [keyed(df, p[i], n) for n, p in enumerate(passes)]))
+    sides = [keyed(df, i) for i, df in enumerate((left, right))]
     counts = [s.groupBy("k").agg(F.count("*").alias(f"n{i}")) for i, s in enumerate(sides)]
     pairs = F.col("n0") * F.col("n1")
     # more blocks than rows on the left would only copy the right
-    size = checkpointed(counts[0].join(counts[1], "k").select("k", (pairs > most).alias("hot"), F.least("n0", F.ceil(pairs / most)).cast("int").alias("blocks")))
-
-    def fitted(s: DataFrame) -> DataFrame:
-        """The keys both sides have, hot ones refined."""
-        rows = s.join(size, "k")
-        fine = rows.where("hot").select("id", F.explode("fine").alias("f"), "k").where("f is not null").select("id", F.xxhash64("k", "f").alias("k"))
-        return rows.where("not hot").select("id", "k").unionByName(fine)
+    size = checkpointed(counts[0].join(counts[1], "k").select("k", pairs.alias("pairs"), F.greatest(F.lit(1), F.least("n0", F.ceil(pairs / most))).cast("int").alias("blocks")))
 
     def salted(s: DataFrame, every: bool) -> DataFrame:
         """The keys both sides have with the number of a block, or each of its numbers."""
@@ -50,9 +42,12 @@ def block(left: DataFrame, right: DataFrame, passes: list[tuple[Column, Column]]
         number = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if every else F.pmod(F.xxhash64("id"), "blocks").cast("int")
         return rows.select("id", "k", number.alias("block"))
 
-    on = ["k"] if extra is not None else ["k", "block"]
-    l, r = (fitted(s) for s in sides) if extra is not None else (salted(s, i == 1) for i, s in enumerate(sides))  # noqa: E741
-    return l.withColumnRenamed("id", "l").join(r.withColumnRenamed("id", "r"), on).select("l", "r").distinct()
+    l, r = (salted(s, i == 1) for i, s in enumerate(sides))  # noqa: E741
+    out = l.withColumnRenamed("id", "l").join(r.withColumnRenamed("id", "r"), ["k", "block"]).select("l", "r").distinct()
+    if pairs_a_part is None:
+        return out
+    made = size.agg(F.sum("pairs")).first()[0] or 0
+    return out.repartition(parts_for(left.sparkSession, made, pairs_a_part), "l", "r")
 
 
 def name_level(a: Column, b: Column) -> Column:

@@ -89,7 +89,8 @@ def page_pairs(spark: SparkSession, d: str) -> DataFrame:
         (at, place),
         same(pops),
     ]
-    ids = linkage.block(pages, suburbs, passes)
+    # comparing a pair costs five edit distances: pairs are spread by their number, which AQE, going by bytes, would not do
+    ids = linkage.block(pages, suburbs, passes, pairs_a_part=20_000)
     p, s = (df.select(*[F.col(c).alias(f"{x}_{c}") for c in df.columns]) for x, df in (("p", pages), ("s", suburbs)))
     pairs = ids.join(p, ids["l"] == F.col("p_id")).join(s, ids["r"] == F.col("s_id"))
     level = lambda c: linkage.name_level(_ordered(F.col(c)), _ordered(F.col("s_name")))
@@ -110,19 +111,22 @@ def page_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
-    """The suburb that each page describes, with a confidence."""
-    links = linkage.link(page_pairs(spark, d), {"name": 5, "kind": 3, "district": 4, "sold": 3, "population": 3, "place": 4}, least=0.8)
+    """The suburb that each page describes best, with a confidence, however low; pages without any candidate have no row."""
+    links = linkage.link(page_pairs(spark, d), {"name": 5, "kind": 3, "district": 4, "sold": 3, "population": 3, "place": 4}, least=0.0)
     return links.select(F.col("l").alias("page_id"), F.col("r").cast("int").alias("suburb_id"), "confidence")
 
 
+SURE = 0.8
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The suburb that each page describes, if any."""
-    return p5_links(spark, d).select("page_id", "suburb_id")
+    """The suburb that each page describes, if any: links of a confidence of at least 0.8."""
+    return p5_links(spark, d).where(F.col("confidence") >= SURE).select("page_id", "suburb_id")
 
 
 def p5_market(spark: SparkSession, d: str) -> DataFrame:
     """How many market_snapshot rows without suburb_id each page's suburb gets, with the confidence."""
-    links = p5_links(spark, d).join(table(spark, d, "suburb_page").select("page_id", url_form(F.col("source_url")).alias("url")), "page_id")
+    links = p5_links(spark, d).where(F.col("confidence") >= SURE).join(table(spark, d, "suburb_page").select("page_id", url_form(F.col("source_url")).alias("url")), "page_id")
     # pages whose addresses are variants of one: the surest of them, so that a row counts once
     best = links.groupBy("url").agg(F.max(F.struct("confidence", (-F.col("suburb_id")).alias("s"))).alias("b")).select("url", (-F.col("b.s")).alias("suburb_id"), "b.confidence")
     rows = table(spark, d, "market_snapshot").where("suburb_id is null").select(url_form(F.col("source_url")).alias("url"), "source_as_at").join(best, "url")
@@ -231,14 +235,15 @@ def p9_bound(spark: SparkSession, d: str) -> DataFrame:
 P9_BOUND_SQL = "SELECT source, target_share, TRUE AS share_met, TRUE AS size_met FROM mix_target WHERE source IS NOT NULL"
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
+def _languages(spark: SparkSession, d: str, anew: bool = False) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    return language.identify(docs, "doc_id", "text", label_form(F.col("lang")), LANGUAGES)
+    return language.identify(docs, "doc_id", "text", label_form(F.col("lang")), LANGUAGES, anew=anew)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """The language of documents whose label does not name it, and the languages of mixed documents."""
-    got = _languages(spark, d)
+    """The language of documents whose label does not name it, and the languages of mixed documents. The network is trained in every call,
+    so that the query's time holds all of its work; p10_languages and p10_stretches use the one it leaves."""
+    got = _languages(spark, d, anew=True)
     all_langs = F.array_distinct(F.transform(F.filter("stretches", lambda s: s["whole"]), lambda s: s["lang"]))
     wrong = F.when(~F.coalesce(F.col("label") == F.col("lang"), F.lit(False)), F.array(F.struct("lang", F.lit("label").alias("role"))))
     mixed = F.when(F.size(all_langs) > 1, F.transform(all_langs, lambda x: F.struct(x.alias("lang"), F.lit("mixed").alias("role"))))
