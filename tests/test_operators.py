@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars
 from tidemark.operators.nearby import metres
 from tidemark.operators import api, grid, model, quality, relational, scd, search, text
+from tidemark.session import checkpointed
 from tidemark.sources import files
 from tidemark.sources.versions import VersionStore
 from tidemark.streaming import snapshots
@@ -20,28 +21,49 @@ def snap(spark, rows):
     return spark.createDataFrame(rows, "bank string, product string, term string, rate double")
 
 
-A, B, C = ("x", "p", "1y", 4.99), ("x", "p", "2y", 5.5), ("y", "q", "1y", 6.0)
-DAYS = ["2026-08-01", "2026-08-08", "2026-08-15", "2026-08-22", "2026-08-29"]
-
-
-def test_five_days_of_snapshots(spark, tmp_path):
-    """Open three, no change, one reprice, one delisting, no change; the first version stays readable."""
-    days = [[A, B, C], [A, B, C], [(*A[:3], 5.25), B, C], [(*A[:3], 5.25), C], [(*A[:3], 5.25), C]]
-    store = VersionStore(spark, str(tmp_path / "rates"))
-    for day, rows in zip(DAYS, days):
-        if store.version() < 0:
-            store.write(scd.opened(snap(spark, rows), KEYS, "rate", day), {"as_at": day})
-            continue
-        c = scd.counts(scd.classify(store.read(), snap(spark, rows), KEYS, "rate")).first().asDict()
-        if c["opened"] or c["repriced"] or c["delisted"]:
-            store.write(scd.merge(store.read(), snap(spark, rows), KEYS, "rate", day), c)
-    assert store.version() == 2 and len(store.log()) == 3
-    now = store.read()
-    assert now.count() == 4 and now.where("is_current").count() == 2
-    closed = now.where("rate = 4.99").first()
-    assert (str(closed["valid_from"]), str(closed["valid_to"])) == (DAYS[0], DAYS[2])
-    assert store.read(1).count() == 4 and store.read(1).where("is_current").count() == 3
-    assert store.read(0).count() == 3 and {r["rate"] for r in store.read(0).collect()} == {4.99, 5.5, 6.0}
+A, B, C = ("fern", "basic", "6m", 7.1), ("fern", "basic", "5y", 6.35), ("gull", "saver", "6m", 6.9)
+DAYS = ["2031-02-03", "2031-02-10", "2031-02-24", "2031-03-03", "2031-03-31", "2031-04-07"]
+
+
+def test_random_snapshots_merged_and_replayed(spark):
+    """Snapshots merged one after the other, all replayed at once, and a dictionary give the same intervals and counts."""
+    rng, days = random.Random(12), [f"2030-{m:02d}-{d:02d}" for m in (1, 2, 3) for d in (2, 16)]
+    names = [(b, p, t) for b in "uv" for p in "mn" for t in ("1y", "2y")]
+    cards = [{k: rng.choice([3.5, 4.25, 5.0]) for k in names if rng.random() < 0.6} for _ in days]
+    open_, done, counted = {}, [], []
+    for day, card in zip(days, cards):
+        c = {"opened": 0, "repriced": 0, "delisted": 0, "unchanged": 0}
+        for k in {*open_, *card}:
+            was, now = open_.get(k), card.get(k)
+            if was and was[0] == now:
+                c["unchanged"] += 1
+                continue
+            if was:
+                done.append((*k, was[0], was[1], day))
+                del open_[k]
+            if now:
+                open_[k] = (now, day)
+            c["opened" if not was else "delisted" if not now else "repriced"] += 1
+        counted.append((day, *c.values()))
+    want = sorted(done + [(*k, r, d, "None") for k, (r, d) in open_.items()])
+    flat = lambda df: sorted((*(r[c] for c in [*KEYS, "rate"]), str(r["valid_from"]), str(r["valid_to"])) for r in df.collect())
+    table = scd.opened(snap(spark, [(*k, r) for k, r in cards[0].items()]), KEYS, "rate", days[0])
+    for day, card in zip(days[1:], cards[1:]):
+        table = checkpointed(scd.merge(table, snap(spark, [(*k, r) for k, r in card.items()]), KEYS, "rate", day))
+    assert flat(table) == want
+    rows = [(*k, r, date.fromisoformat(d)) for d, card in zip(days, cards) for k, r in card.items()]
+    every = spark.createDataFrame(rows, "bank string, product string, term string, rate double, d date")
+    assert flat(scd.replay(every, KEYS, "rate", "d")) == want
+    assert sorted((str(r["at"]), r["opened"], r["repriced"], r["delisted"], r["unchanged"]) for r in scd.replay_counts(every, KEYS, "rate", "d").collect()) == counted
+    assert scd.replay(every.limit(0), KEYS, "rate", "d").count() == 0
+
+
+def test_versions_stay_readable(spark, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "t"))
+    assert store.version() == -1
+    for n in range(3):
+        assert store.write(spark.range(n + 1), {"n": n}) == n
+    assert [store.read(v).count() for v in range(3)] == [1, 2, 3] and store.read().count() == 3 and [x["n"] for x in store.log()] == [0, 1, 2]
 
 
 def test_stream_of_snapshots(spark, tmp_path):
@@ -50,8 +72,8 @@ def test_stream_of_snapshots(spark, tmp_path):
     run = lambda: snapshots.follow(spark, folder, schema, str(tmp_path / "t"), str(tmp_path / "s"), KEYS, "rate", "as_at").awaitTermination()
     put([A, B], DAYS[0])
     run()
-    put([(*A[:3], 5.0), B, C], DAYS[1])
-    put([(*A[:3], 5.0), B, C], DAYS[2])
+    put([(*A[:3], 7.45), B, C], DAYS[1])
+    put([(*A[:3], 7.45), B, C], DAYS[2])
     run()
     put([A], DAYS[0])  # late: passed over
     run()
@@ -128,20 +150,37 @@ def test_name_key(spark):
 
 
 def test_query_interface(spark):
-    df = spark.createDataFrame(
-        [("Alpha", "North", 800_000.0, "coastal/town", "5/20/45/22/8", None), ("Beta", "West", 650_000.0, "bush", "3/14/50/25/8", 2.0), ("gamma", None, None, None, "1/2/x/4/5", 1.0)],
-        "name string, zone string, price double, traits string, bedroom_mix string, km double",
-    )
-    names = lambda r: [x["name"] for x in api.select(df, r).collect()]
-    assert names(api.Request(numeric={"price": (None, 700_000)})) == ["Beta"] and names(api.Request(numeric={"km": (None, None)})) == ["Beta", "gamma"]
-    assert names(api.Request(traits=["coastal", "town"])) == ["Alpha"] and names(api.Request(names=["GAMMA"])) == ["gamma"]
-    assert names(api.Request(sort_by="price", descending=False)) == ["Beta", "Alpha", "gamma"] and names(api.Request(sort_by="price")) == ["Alpha", "Beta", "gamma"]
-    assert names(api.Request(bedrooms=(3, 46))) == ["Beta"] and len(names(api.Request(limit=0))) == 1
-    median = api.summarise(df, api.Request(), "price", "median", False).first()
-    assert (median["matched"], median["value"]) == (3, 725_000.0)
-    assert {(r["grp"], r["value"], r["name"]) for r in api.summarise(df, api.Request(), "price", "max", True).collect()} == {("North", 800_000.0, "Alpha"), ("West", 650_000.0, "Beta")}
-    calc = lambda op, a, b: spark.range(1).select(F.round(api.calculate(F.lit(op), F.lit(a), F.lit(b)), 2)).first()[0]
-    assert calc("percent_change", 650_000.0, 800_000.0) == 23.08 and calc("subtract", 800_000.0, 650_000.0) == 150_000.0
+    """Requests over random records like plain Python."""
+    rng = random.Random(13)
+    mixes = [None, "1/2/x/4/5", "1/2/3/4"] + ["/".join(str(rng.randrange(60)) for _ in range(5)) for _ in range(6)]
+    rows = [(f"{rng.choice('PQRpqr')}lace {i}", rng.choice([None, "Upper", "Lower"]), rng.choice([None, *range(310, 320)]), rng.choice([None, "", "lake", "lake/hill", "hill"]), rng.choice(mixes), rng.choice([None, 1.5, 30.0])) for i in range(60)]
+    rows = [(a, b, None if c is None else c * 1_000.0, *r) for a, b, c, *r in rows]
+    df = spark.createDataFrame(rows, "name string, zone string, price double, traits string, bedroom_mix string, km double")
+
+    def share(mix, i):
+        parts = (mix or "").split("/")
+        return float(parts[i - 1]) if len(parts) == 5 and all(p.isdigit() for p in parts) else -1
+
+    def names(keep, key=lambda r: r[0]):
+        return [r[0] for r in sorted(filter(keep, rows), key=key)]
+
+    got = lambda **k: [x["name"] for x in api.select(df, api.Request(limit=20, **k)).collect()]
+    assert got(numeric={"price": (313_000, 315_000)}) == names(lambda r: r[2] and 313_000 <= r[2] <= 315_000)[:20]
+    assert got(numeric={"km": (None, None)}, zones=["Upper"]) == names(lambda r: r[5] is not None and r[1] == "Upper")[:20]
+    assert got(traits=["hill", "lake"]) == names(lambda r: r[3] == "lake/hill")[:20] and got(names=[rows[7][0].upper()]) == [rows[7][0]]
+    last = lambda sign: lambda r: (r[2] is None, sign * (r[2] or 0), r[0])
+    assert got(sort_by="price") == names(lambda r: True, last(-1))[:20] and got(sort_by="price", descending=False) == names(lambda r: True, last(1))[:20]
+    assert got(bedrooms=(4, 25)) == names(lambda r: share(r[4], 4) >= 25)[:20]
+    assert len(api.select(df, api.Request(limit=0)).collect()) == 1
+    priced = sorted(r[2] for r in rows if r[2])
+    mid = api.summarise(df, api.Request(), "price", "median", False).first()
+    assert mid["matched"] == 60 and mid["value"] == (priced[(len(priced) - 1) // 2] + priced[len(priced) // 2]) / 2
+    for zone in ("Upper", "Lower"):
+        own = [r for r in rows if r[1] == zone and r[2]]
+        best = {r["grp"]: r for r in api.summarise(df, api.Request(), "price", "max", True).collect()}[zone]
+        assert best["value"] == max(r[2] for r in own) and best["name"] == min(r[0] for r in own if r[2] == best["value"])
+    calc = lambda op, a, b: spark.range(1).select(api.calculate(F.lit(op), F.lit(a), F.lit(b))).first()[0]
+    assert calc("percent_change", 40.0, 50.0) == 25.0 and calc("percent_change", -40.0, -30.0) == 25.0 and calc("subtract", 3.0, 4.5) == -1.5 and calc("divide", 3.0, 4.0) == 0.75
     with pytest.raises(Exception, match="division by zero"):
         calc("divide", 1.0, 0.0)
 
@@ -204,11 +243,21 @@ def test_quality_operators(spark):
     assert quality.same_rows(df, df.union(df.limit(1))).first()[:] == (0, 1)
 
 
-def test_traits_and_claims(spark):
-    t = "There used to be a beach here. The bay is calm. A quarry near the road, and an asphalt plant."
-    got = text.find_traits(t)
-    assert "bay" in got["coastal"] and "industrial" in got and text.find_traits(None) == {}
-    assert "industrial" not in text.find_traits("Parking near the noisy quarry is short.")
+def test_traits(spark):
+    rows = [
+        (1, "Nobody swims there now. It was a beach. Its tidal flats are wide, near a quarry.", "Crumb"),
+        (2, "Gull Village is small; wide orchards follow.", "Gull"),
+        (3, "Elm (ELM-\u0259n, port) has a scenic reserve. The Harbour Bridge is far.", "Elm"),
+        (4, "Facing the forest, a warehouse. Lava everywhere.", None),
+        (5, None, "x"), (6, "", ""), (7, "quarry " * 20_000, "a(b["), (8, "A port; a port.", "port"),
+    ]
+    got = {r["id"]: r["traits"] for r in text.traits(spark.createDataFrame(rows, "id int, t string, n string"), "id", "t", "n").collect()}
+    assert {k: set(v) for k, v in got.items()} == {1: {"coastal"}, 2: {"rural"}, 3: {"bush"}, 4: {"volcanic"}, 5: set(), 6: set(), 7: {"industrial"}, 8: set()}
+    assert "tidal" in got[1]["coastal"] and got[1]["coastal"].startswith("…") and "orchards" in got[2]["rural"]
+    assert {r["trait"]: r["texts"] for r in text.coverage(text.traits(spark.createDataFrame(rows, "id int, t string, n string"), "id", "t", "n")).collect()}["none"] == 3
+
+
+def test_claims(spark):
     df = spark.createDataFrame([("$703,000, $1.2m and $450k or $5",), (None,)], "t string")
     assert [r[0] for r in df.select(text.money(F.col("t"))).collect()] == [[703_000.0, 1_200_000.0, 450_000.0, 5.0], None]
     claims = spark.createDataFrame([(1, 100.0), (1, 100.0), (1, 150.0), (2, 1.0)], "k int, claim double")
@@ -233,6 +282,8 @@ def test_model(spark):
     df = spark.createDataFrame([(i, 3.0 * i + 100 + (i % 7), float(i), None if i % 9 == 0 else i * 2.0) for i in range(300)] + [(999, None, 1.0, 1.0)], "id long, y double, a double, b double")
     p = model.out_of_fold(df, "id", "y", ["a", "b"])
     s = model.scores(p).first()
+    zero = model.out_of_fold(df.withColumn("y", F.when(F.col("id") % 10 == 0, 0.0).otherwise(F.col("y"))).withColumn("z", F.when(F.col("id") % 2 == 0, "odd")), "id", "y", ["a", "b"], "boosted", folds=2, categories=["z"], rounds=5)
+    assert zero.count() == 270 and model.scores(zero).first()["mape"] < 50 and model.scores(zero.limit(0)).first()["mape"] is None
     assert s["rows"] == 300 and s["r2"] > 0.95 and model.bands(p, "id").where("confidence = 'high'").count() > 200
 
 
@@ -241,7 +292,7 @@ def test_whole_valuation_is_calculated_and_dated(spark, small):
 
     v = spark.read.parquet(f"{small}/valuation.parquet")
     assert v.where("cv > 0 and lv > 0").select("run_id").distinct().count() > 2
-    for name, rows in (("calculations_all", "cv > 0 and lv > 0"), ("serial_dates_all", "ru_id is not null")):
+    for name, rows in (("calculations", "cv > 0 and lv > 0"), ("serial_dates", "ru_id is not null")):
         assert entry.queries()[name](spark, small).count() == v.where(rows).count()
 
 
@@ -250,10 +301,30 @@ def test_labels_and_sources_in_any_spelling(spark, tmp_path):
 
     labels = ["en", "en-NZ", "en_nz", "EN", " en", "mi", None]
     sources = ["plan_clause", "Plan-Clause", " plan clause ", "PLAN_CLAUSE", "listing", None, "plan__clause"]
-    docs = [(3 * i + 1, "A beach.", a, b) for i, (a, b) in enumerate(zip(labels, sources))]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(3 * i + 1, "A beach.", a, b, None) for i, (a, b) in enumerate(zip(labels, sources))]
+    spark.createDataFrame([(1, "x")], "suburb_id int, name string").write.parquet(f"{tmp_path}/suburb.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, suburb_id int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(z,) for z in (1, 4, 7, 19, 49)], "planning_zone_code int").write.parquet(f"{tmp_path}/rating_unit.parquet")
     run = lambda name: sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
     assert [r[0] for r in run("text_traits")] == [1, 4, 7, 10, 13] and run("trait_coverage") == [("coastal", 5)]
-    assert run("zone_map_all") == [(1, 1, 1), (4, 1, 4), (7, 1, 7), (19, 1, 19)]
-    assert run("clause_coverage_all") == [(5, 4)] and run("clauses_of_zone_all") == []
+    assert run("zone_map") == [(1, 1, [1]), (4, 1, [4]), (7, 1, [7]), (19, 1, [19])]
+    assert run("clause_coverage") == [(5, 4)] and run("clauses_of_zone") == []
+
+
+def test_rate_cards(spark):
+    """Columns by their header, a product named once for all its rows, not carried into another table."""
+    page = "<table><tr><th>Rate p.a.<th>Product<th>Term<tr><td>5.10%<td>Fixed<td>1 year<tr><td>6 %<td><td>18 months<tr><td>n/a<td>Flex<td>none</table><table><tr><th>Term<th>Product<th>Rate<tr><td>2 years<td><td>7</table><table><tr><td>x</table>"
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string")
+    assert sorted(tuple(r) for r in files.rate_card(df, "id", "html").collect()) == [(1, "Fixed", "1 year", 5.1), (1, "Fixed", "18 months", 6.0)]
+
+
+def test_rounds_are_data(spark, tmp_path):
+    """The last round is the newest date that most units have, whatever it is; later interim dates are none."""
+    from tidemark.plans.registry import Tables
+    from tidemark.plans.views import round_dates
+
+    rows = [(i, date(y, 5, 2), 1) for i in range(40) for y in (2040, 2043, 2046) if y < 2046 or i < 30] + [(3, date(2047, 1, 1), 1), (None, date(2048, 1, 1), 1)]
+    spark.createDataFrame(rows, "ru_id int, valuation_date date, cv long").write.parquet(f"{tmp_path}/valuation.parquet")
+    assert round_dates(Tables(spark, str(tmp_path))) == [date(2046, 5, 2), date(2043, 5, 2)]
+    spark.createDataFrame([], "ru_id int, valuation_date date, cv long").write.parquet(f"{tmp_path}/empty/valuation.parquet")
+    assert round_dates(Tables(spark, f"{tmp_path}/empty")) == [None, None]

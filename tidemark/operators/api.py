@@ -55,14 +55,14 @@ def select(df: DataFrame, r: Request, key: str = "name") -> DataFrame:
     return rows.orderBy(*order, key).limit(min(20, max(1, r.limit)))
 
 
-def summarise(df: DataFrame, r: Request, metric: str, op: str, by_zone: bool, key: str = "name") -> DataFrame:
+def summarise(df: DataFrame, r: Request, metric: str, op: str, by_zone: bool, key: str = "name", zone: str = "zone") -> DataFrame:
     """(grp, matched, value, name): count, mean, median, min or max of a metric over the matching rows.
 
     matched counts all rows, count those with a value; min and max name their row, the first by key of equals; rows without a
     zone are in no group.
     """
     rows = df.where(conditions(r))
-    rows = rows.where("zone is not null").withColumn("grp", F.col("zone")) if by_zone else rows.withColumn("grp", F.lit("all"))
+    rows = rows.where(F.col(zone).isNotNull()).withColumn("grp", F.col(zone)) if by_zone else rows.withColumn("grp", F.lit("all"))
     v = F.col(metric).cast("double")
     rounded = python_round(2)
     name = F.lit(None).cast("string")

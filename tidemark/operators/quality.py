@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def metrics(parts: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """(metric, value): one aggregate over one table each, as one table."""
-    rows = [df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value") for name, (df, value) in parts.items()]
+def metrics(parts: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """(metric, value): aggregates over tables, all those of one table in one pass."""
+    rows = []
+    for df, values in parts:
+        one = df.agg(*[v.cast("double").alias(k) for k, v in values.items()])
+        rows.append(one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in values])).alias("m")).select("m.*"))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -10,43 +10,72 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Each trait: what shows it. A mention is not valid in what a place once had or lies next to.
+# The words that show each trait
 TRAITS = {
-    "coastal": r"\b(beach|coast|harbour|bay|wharf|tide|ferry)\w*",
-    "rural": r"\b(farm|orchard|paddock|lifestyle block)\w*",
-    "green": r"\b(park|reserve|bush|mangrove|kauri|pōhutukawa)\w*",
-    "transport": r"\b(bus|train|tramline|station|ferry)\w*",
-    "industrial": r"\b(quarry|asphalt plant|depot|cannery|factory)\w*",
+    "coastal": r"\bbeach(?:es|side|front)?\b|\bcoast(?:al|line)?\b|(?<!north )(?<!the north )\bshores?\b|\bharbou?r\b|\bwaterfront\b|\bseaside\b|\bestuary\b|\bgulf\b|\bpeninsulas?\b|\binlet\b|\bfronts the\b|\btidal\b",
+    "bush": r"\bforest(?:ed)?\b|\bbush(?:land|-clad)?\b|\brainforest\b|\bscenic reserve\b",
+    "rural": r"\brural\b|\bfarmland\b|\bfarming\b|\bcountryside\b|\bsmall town\b|\bvillage(?! centre)\b|\btownship\b|\borchards?\b|\blifestyle blocks?\b",
+    "volcanic": r"\bvolcan(?:o|oes|ic)\b|\bmaunga\b|\bcrater\b|\bscoria\b|\bcinder cone\b|\blava\b|\btuff ring\b",
+    "town_centre": r"\b(?:town|shopping|commercial|retail|civic) (?:centre|center)\b|\bshopping (?:mall|precinct)\b|\bmain street\b|\bbusiness (?:district|area)\b|\bcommercial (?:hub|precinct)\b",
+    "historic": r"\bhistoric(?:al)?\b|\bheritage\b|\boldest\b|\bVictorian\b|\bcolonial\b|\b(?:established|settled|founded) in 1[89]\d\d\b",
+    "industrial": r"\bindustrial\b|\bindustry\b|\bmanufacturing\b|\bwarehous(?:e|ing|es)\b|\bfactor(?:y|ies)\b|\bport\b|\bquarry\b",
 }
-PAST = re.compile(r"\b(used to be|formerly|once|closed in|no longer)\b[^.]{0,40}$", re.I)
-NEARBY = re.compile(r"\b(near|close to|minutes from|beside)\b[^.]{0,25}$", re.I)
-STRICT = {"industrial"}
-
-
-def find_traits(text: str | None, traits: dict[str, str] = TRAITS, around: int = 34) -> dict[str, str]:
-    """The traits of a text, each with the words that show it; the first valid mention counts. Never false, only absent."""
-    out = {}
-    for name, pattern in traits.items():
-        for m in re.finditer(pattern, text or "", re.I):
-            lead = text[max(0, m.start() - 60) : m.start()]
-            if PAST.search(lead) or name in STRICT and NEARBY.search(lead):
-                continue
-            a, b = max(0, m.start() - around), min(len(text), m.end() + around)
-            out[name] = ("…" if a else "") + text[a:b].strip() + ("…" if b < len(text) else "")
-            break
-    return out
-
-
-def traits(df: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """(key, traits): map of trait to evidence for each row; null texts have an empty map."""
+# What, earlier in the same sentence, makes a mention one of the past, or of something nearby
+PAST_WORDS = "originally|formerly|once|previously|used to|no longer|until the|historically|in the past|was|were|had been|established as|founded|settled|developed into|during the|in the (?:17|18|19)\\d\\d"
+NEAR_WORDS = "north of|south of|east of|west of|northeast of|northwest of|southeast of|southwest of|near|close to|view of|views of|overlooking|opposite|across from|adjacent to|lies|beyond|toward|towards|facing"
+#: Traits that a place has by lying near what shows them.
+BY_NEARNESS = {"coastal", "volcanic", "town_centre"}
+# Phonetic signs, and names that contain a trait's word
+GLOSS = r"\([^)]*[əˈˌːɑɛɪɔʊθðʃʒŋæ\u0361][^)]*\)"
+OTHER_NAMES = r"\bharbou?r bridge\b|\bnorth shore (?:city|hospital)\b"
+#: Stands where the place's own name stood.
+SLOT = "\u2e24\u2e25"
+
+
+_RULES = {
+    "past": re.compile(rf"\b(?:{PAST_WORDS})\b[^.;]{{0,60}}$", re.I),
+    "near": re.compile(rf"\b(?:{NEAR_WORDS})\b[^.;]{{0,50}}$", re.I),
+    "compound": re.compile(rf"{SLOT}\W{{0,3}}$"),
+}
+_BLANKED = re.compile(rf"{GLOSS}|{OTHER_NAMES}", re.I)
+_SENTENCE = re.compile(r"[^.;]+")
+
+
+def shown_traits(text: str, name: str | None, patterns: dict[str, re.Pattern], around: int = 34) -> dict[str, str]:
+    """The traits of one text with their evidence, sentence by sentence."""
+    body = _BLANKED.sub(" ", text)
+    if name and name.strip():
+        body = re.sub(re.escape(name), SLOT, body, flags=re.I)
+    spans = [m.span() for m in _SENTENCE.finditer(body)]
+    found = {}
+    for trait, pattern in patterns.items():
+        rules = ["past"] if trait in BY_NEARNESS else list(_RULES)
+        hits = ((a, m) for a, z in spans for m in pattern.finditer(body, a, z))
+        # what rules a mention out stands at most 120 characters before it
+        valid = (m for a, m in hits if not any(_RULES[r].search(body[max(a, m.start() - 120) : m.start()]) for r in rules))
+        if m := next(valid, None):
+            a, z = max(0, m.start() - around), min(len(body), m.end() + around)
+            found[trait] = "".join(["…" * (a > 0), " ".join(body[a:z].split()), "…" * (z < len(body))])
+    return found
+
+
+def traits(df: DataFrame, key: str, text: str, name: str | None = None, patterns: dict[str, str] | None = None) -> DataFrame:
+    """(key, traits): map of trait to evidence for each row; null texts have an empty map.
+
+    A trait is shown by its first mention that is not ruled out: by a word of the past within 60 characters before it in its sentence, and, for
+    traits that lying nearby does not give, by a word of nearness within 50 or by the place's own name directly in front. Glosses of
+    pronunciation, other names that contain such words and the place's own name (column `name`) show nothing.
+    """
     kind = dict(df.dtypes)[key]
-    chosen = patterns or TRAITS
+    chosen = {k: re.compile(p, re.I) for k, p in (patterns or TRAITS).items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"].array, "traits": [find_traits(t if isinstance(t, str) else None, chosen) for t in pdf["text"]]})
+            made = [shown_traits(t, n if isinstance(n, str) else None, chosen) if isinstance(t, str) else {} for t, n in zip(pdf["text"], pdf["name"])]
+            yield pd.DataFrame({"key": pdf["key"].array, "traits": made})
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, traits map<string,string>").withColumnRenamed("key", key)
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(name) if name else F.lit(None)).cast("string").alias("name"))
+    return rows.mapInPandas(run, f"key {kind}, traits map<string,string>").withColumnRenamed("key", key)
 
 
 def coverage(with_traits: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import area_m2, has_han, haversine_km, label_form, name_key, python_round, ratio, serial_date, trim_to_sentence
 from tidemark.operators import api, grid, model, quality, text
 from tidemark.plans.registry import Registry, Tables
-from tidemark.plans.views import _OVERVIEW, CURRENT_ROUND, LEAST_UNITS, _CURRENT, _ROUNDS, current, overview, rounds_on
+from tidemark.plans.views import _CURRENT, _NOW, _OVERVIEW, _ROUND_DATES, _ROUNDS, _THEN, LEAST_UNITS, current, overview, round_dates, rounds_on
 from tidemark.session import checkpointed
 
 query = Registry()
@@ -48,7 +48,14 @@ def grid_filled(t: Tables) -> DataFrame:
     return grid.fill(checkpointed(grid.cells(p, "suburb_id", g)), "suburb_id", g)
 
 
-@query("grid_smoothed")
+_BLUR = """{new} AS (SELECT o.suburb_id, o.gx, o.gy, sum(b.a) / 9 AS a, sum(b.m) / 9 AS m FROM {out} o JOIN gs USING (suburb_id), (VALUES (-1), (0), (1)) i(dx), (VALUES (-1), (0), (1)) j(dy), {old} b
+  WHERE b.suburb_id = o.suburb_id AND b.gx = greatest(0, least(nx - 1, o.gx + dx)) AND b.gy = greatest(0, least(ny - 1, o.gy + dy)) GROUP BY ALL)"""
+_SMOOTH = f"""WITH {_POINTS}, f0 AS (SELECT suburb_id, CAST(x AS INTEGER) AS gx, CAST(y AS INTEGER) AS gy FROM (SELECT suburb_id, unnest(range(nx)) AS x, ny FROM gs), LATERAL (SELECT unnest(range(ny)) AS y)),
+  s0 AS (SELECT f.suburb_id, f.gx, f.gy, coalesce(v, 0) AS a, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS m FROM f0 f LEFT JOIN ce USING (suburb_id, gx, gy)), {_BLUR.format(new='s1', out='f0', old='s0')}, {_BLUR.format(new='s2', out='f0', old='s1')}, {_BLUR.format(new='s3', out='f0', old='s2')}
+  SELECT suburb_id, gx, gy, round(a / m, 2) AS v FROM s3 JOIN ce USING (suburb_id, gx, gy)"""
+
+
+@query("grid_smoothed", _SMOOTH)
 def grid_smoothed(t: Tables) -> DataFrame:
     p = points(t)
     g = grid.bounds(p, "suburb_id", CELL)
@@ -93,10 +100,10 @@ def nearest_rank_quantiles(t: Tables) -> DataFrame:
     return grid.nearest_ranks(current(t).where("cv > 0 and suburb_id is not null"), "suburb_id", "cv", {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9})
 
 
-@query("current_and_previous", f"WITH {_ROUNDS} SELECT r.suburb_id, count(*) AS units, sum(c.cv)::BIGINT AS now, sum(coalesce(p.cv, 0))::BIGINT AS before FROM rating_unit r JOIN val c ON c.ru_id = r.ru_id AND c.valuation_date = DATE '{CURRENT_ROUND}' LEFT JOIN val p ON p.ru_id = r.ru_id AND p.valuation_date = DATE '2021-06-01' WHERE c.cv > 0 AND r.suburb_id IS NOT NULL GROUP BY r.suburb_id")
+@query("current_and_previous", f"WITH {_ROUNDS}, {_ROUND_DATES} SELECT r.suburb_id, count(*) AS units, sum(c.cv)::BIGINT AS now, sum(coalesce(p.cv, 0))::BIGINT AS before FROM rating_unit r JOIN val c ON c.ru_id = r.ru_id AND c.valuation_date = {_NOW} LEFT JOIN val p ON p.ru_id = r.ru_id AND p.valuation_date = {_THEN} WHERE c.cv > 0 AND r.suburb_id IS NOT NULL GROUP BY r.suburb_id")
 def current_and_previous(t: Tables) -> DataFrame:
     """Units of the current round with their value of the round before, 0 if they had none."""
-    before = rounds_on(t, "2021-06-01").select("ru_id", F.col("cv").alias("before"))
+    before = rounds_on(t, round_dates(t)[1]).select("ru_id", F.col("cv").alias("before"))
     rows = current(t).where("cv > 0 and suburb_id is not null").join(before, "ru_id", "left")
     return rows.groupBy("suburb_id").agg(F.count("*").alias("units"), F.sum("cv").alias("now"), F.sum(F.coalesce("before", F.lit(0))).alias("before"))
 
@@ -180,16 +187,18 @@ def event_intervals(t: Tables) -> DataFrame:
     return t.events.where("event_type = 'signup'").select("user_id", "event_id", F.col("ts").alias("start"), F.lead("ts").over(w).alias("end"))
 
 
-@query("rising_orders")
+@query("rising_orders", """WITH o AS (SELECT o_custkey, list([o_totalprice] ORDER BY o_orderdate, o_orderkey) AS l FROM orders GROUP BY o_custkey)
+  SELECT o_custkey, len(l) AS orders, len(list_reduce(l, lambda acc, x: list_concat(list_concat(acc[1:len(list_filter(acc, lambda v: v < x[1]))], x), acc[len(list_filter(acc, lambda v: v < x[1])) + 2:]))) AS longest FROM o""")
 def rising_orders(t: Tables) -> DataFrame:
-    """The length of the longest rising run of each customer's order values, in order of date."""
-    def run(key: tuple, pdf):
-        import pandas as pd
+    """The length of the longest rising run of each customer's order values, in order of date: the smallest end of a run of each length, folded over the orders."""
+    values = F.transform(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))), lambda x: x["o_totalprice"].cast("double"))
 
-        pdf = pdf.sort_values(["o_orderdate", "o_orderkey"])
-        return pd.DataFrame({"o_custkey": [key[0]], "orders": [len(pdf)], "longest": [len(text.longest_run(pdf["o_totalprice"].tolist()))]})
+    def step(ends, x):
+        k = F.size(F.filter(ends, lambda v: v < x))
+        return F.concat(F.slice(ends, F.lit(1), k), F.array(x), F.slice(ends, k + 2, F.size(ends)))
 
-    return t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice").groupBy("o_custkey").applyInPandas(run, "o_custkey long, orders long, longest long")
+    rows = t.orders.groupBy("o_custkey").agg(values.alias("v"))
+    return rows.select("o_custkey", F.size("v").cast("long").alias("orders"), F.size(F.aggregate("v", F.array().cast("array<double>"), step)).cast("long").alias("longest"))
 
 
 REQUEST = api.Request(zones=["West Hills", "Central"], numeric={"avg_house_value": (400_000, 1_500_000), "cbd_km": (None, 200)}, sort_by="median_weekly_rent", limit=12)
@@ -202,17 +211,17 @@ def filtered_suburbs(t: Tables) -> DataFrame:
     return api.select(overview(t), REQUEST).select("name", "zone", "avg_house_value", "median_weekly_rent")
 
 
-@query("bedroom_filter", """WITH m AS (SELECT suburb_id, concat_ws('/', bed1_pct, bed2_pct, bed3_pct, bed4_pct, bed5_pct) AS mix, bed3_pct, bed1_pct, bed2_pct, bed4_pct, bed5_pct FROM market_snapshot WHERE source_as_at = DATE '2025-12-04')
+@query("bedroom_filter", """WITH m AS (SELECT suburb_id, concat_ws('/', bed1_pct, bed2_pct, bed3_pct, bed4_pct, bed5_pct) AS mix, bed3_pct, bed1_pct, bed2_pct, bed4_pct, bed5_pct FROM market_snapshot WHERE source_as_at = (SELECT max(source_as_at) FROM market_snapshot))
   SELECT count(*) AS matched FROM m WHERE bed3_pct >= 40 AND bed1_pct IS NOT NULL AND bed2_pct IS NOT NULL AND bed4_pct IS NOT NULL AND bed5_pct IS NOT NULL""")
 def bedroom_filter(t: Tables) -> DataFrame:
     """Rows with enough three-bedroom homes by their mix text; an incomplete mix never matches."""
-    m = t.market_snapshot.where("source_as_at = date'2025-12-04'").withColumn("bedroom_mix", F.concat_ws("/", *[f"bed{i}_pct" for i in range(1, 6)]))
+    m = t.market_snapshot.where(F.col("source_as_at") == t.market_snapshot.agg(F.max("source_as_at")).scalar()).withColumn("bedroom_mix", F.concat_ws("/", *[f"bed{i}_pct" for i in range(1, 6)]))
     return m.where(api.conditions(api.Request(bedrooms=(3, 40)))).agg(F.count("*").alias("matched"))
 
 
-@query("summary_by_zone", f"{_OVERVIEW} SELECT zone AS grp, count(*) AS matched, median(avg_house_value) AS value, CAST(NULL AS VARCHAR) AS name FROM ov WHERE zone IS NOT NULL GROUP BY zone")
+@query("summary_by_zone", f"{_OVERVIEW} SELECT major_name AS grp, count(*) AS matched, round_even(median(avg_house_value), 2) AS value, CAST(NULL AS VARCHAR) AS name FROM ov WHERE major_name IS NOT NULL GROUP BY major_name")
 def summary_by_zone(t: Tables) -> DataFrame:
-    return api.summarise(overview(t), api.Request(), "avg_house_value", "median", True)
+    return api.summarise(overview(t), api.Request(), "avg_house_value", "median", True, zone="major_name")
 
 
 @query("summary_cheapest", f"{_OVERVIEW} SELECT 'all' AS grp, (SELECT count(*) FROM ov WHERE {_WHERE}) AS matched, CAST(avg_house_value AS DOUBLE) AS value, name FROM ov WHERE {_WHERE} ORDER BY avg_house_value, name LIMIT 1")
@@ -220,9 +229,9 @@ def summary_cheapest(t: Tables) -> DataFrame:
     return api.summarise(overview(t), REQUEST, "avg_house_value", "min", False)
 
 
-@query("summary_counts", f"{_OVERVIEW} SELECT zone AS grp, count(*) AS matched, CAST(nullif(count(avg_house_value), 0) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS name FROM ov WHERE zone IS NOT NULL GROUP BY zone")
+@query("summary_counts", f"{_OVERVIEW} SELECT major_name AS grp, count(*) AS matched, CAST(nullif(count(avg_house_value), 0) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS name FROM ov WHERE major_name IS NOT NULL GROUP BY major_name")
 def summary_counts(t: Tables) -> DataFrame:
-    return api.summarise(overview(t), api.Request(), "avg_house_value", "count", True)
+    return api.summarise(overview(t), api.Request(), "avg_house_value", "count", True, zone="major_name")
 
 
 @query("lookup_suburbs", "SELECT q.asked, s.name, s.name IS NOT NULL AS found FROM (SELECT unnest(['titono', 'Frobawold South', 'nowhere at all']) AS asked) q LEFT JOIN suburb s ON lower(s.name) = lower(q.asked)")
@@ -235,19 +244,10 @@ def name_search(t: Tables) -> DataFrame:
     return api.search_names(t.suburb, "Mount")
 
 
-@query("calculations", "SELECT ru_id, cv + lv AS added, cv - lv AS subtracted, (cv + lv) / 2 AS mean, round((lv - cv) / abs(cv) * 100, 2) AS change FROM valuation WHERE cv > 0 AND lv > 0 AND run_id = 1")
+@query("calculations", "SELECT ru_id, cv + lv AS added, cv - lv AS subtracted, (cv + lv) / 2 AS mean, round((lv - cv) / abs(cv) * 100, 2) AS change FROM valuation WHERE cv > 0 AND lv > 0")
 def calculations(t: Tables) -> DataFrame:
-    return calculated(t.valuation.where("run_id = 1"))
-
-
-@query("calculations_all", "SELECT ru_id, cv + lv AS added, cv - lv AS subtracted, (cv + lv) / 2 AS mean, round((lv - cv) / abs(cv) * 100, 2) AS change FROM valuation WHERE cv > 0 AND lv > 0")
-def calculations_all(t: Tables) -> DataFrame:
     """The calculations over every run's valuations."""
-    return calculated(t.valuation)
-
-
-def calculated(valuations: DataFrame) -> DataFrame:
-    v = valuations.where("cv > 0 and lv > 0")
+    v = t.valuation.where("cv > 0 and lv > 0")
     op = lambda name: api.calculate(F.lit(name), F.col("cv").cast("double"), F.col("lv").cast("double"))
     return v.select("ru_id", op("add").alias("added"), op("subtract").alias("subtracted"), op("mean").alias("mean"), F.round(op("percent_change"), 2).alias("change"))
 
@@ -266,14 +266,14 @@ def dataset_description(t: Tables) -> DataFrame:
     return n.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("filled")) for c in names])).alias("c")).select("c.field", "c.filled", "rows")
 
 
-@query("comparison", f"""{_OVERVIEW}, l AS (SELECT zone, unnest(['price', 'rent']) AS metric, unnest([median(avg_house_value), median(median_weekly_rent)]) AS v FROM ov WHERE zone IS NOT NULL GROUP BY zone)
-  SELECT metric, arg_min(zone, (v, zone)) AS lowest, arg_max(zone, (v, zone)) AS highest, (max(v) - min(v)) / max(v) >= 0.02 AS decided FROM l WHERE v IS NOT NULL GROUP BY metric""")
+@query("comparison", f"""{_OVERVIEW}, l AS (SELECT major_name AS d, unnest(['price', 'rent']) AS metric, unnest([median(avg_house_value), median(median_weekly_rent)]) AS v FROM ov WHERE major_name IS NOT NULL GROUP BY major_name)
+  SELECT metric, arg_min(d, (v, d)) AS lowest, arg_max(d, (v, d)) AS highest, (max(v) - min(v)) / max(v) >= 0.02 AS decided FROM l WHERE v IS NOT NULL GROUP BY metric""")
 def comparison(t: Tables) -> DataFrame:
-    """For each metric the zones at either end, decided only if they differ by two per cent."""
-    per = overview(t).where("zone is not null").groupBy("zone").agg(F.median("avg_house_value").alias("price"), F.median("median_weekly_rent").alias("rent"))
-    long = per.unpivot("zone", ["price", "rent"], "metric", "v").where("v is not null")
-    low, high = F.min(F.struct("v", "zone")), F.max(F.struct("v", "zone"))
-    return long.groupBy("metric").agg(low["zone"].alias("lowest"), high["zone"].alias("highest"), ((high["v"] - low["v"]) / high["v"] >= 0.02).alias("decided"))
+    """For each metric the districts at either end, decided only if they differ by two per cent."""
+    per = overview(t).where("major_name is not null").groupBy(F.col("major_name").alias("d")).agg(F.median("avg_house_value").alias("price"), F.median("median_weekly_rent").alias("rent"))
+    long = per.unpivot("d", ["price", "rent"], "metric", "v").where("v is not null")
+    low, high = F.min(F.struct("v", "d")), F.max(F.struct("v", "d"))
+    return long.groupBy("metric").agg(low["d"].alias("lowest"), high["d"].alias("highest"), ((high["v"] - low["v"]) / high["v"] >= 0.02).alias("decided"))
 
 
 @query("relaxed_requests", f"""{_OVERVIEW} SELECT unnest(['all', 'no price', 'no rent', 'no distance']) AS variant, unnest([count(*) FILTER (avg_house_value <= 800000 AND median_weekly_rent <= 600 AND cbd_km <= 100), count(*) FILTER (median_weekly_rent <= 600 AND cbd_km <= 100),
@@ -301,23 +301,14 @@ def area_labels(t: Tables) -> DataFrame:
     return t.rating_unit.select("ru_id", area_m2(label).alias("metres"), unit.alias("unit"))
 
 
-@query("serial_dates", "SELECT ru_id, valuation_date AS back FROM valuation WHERE ru_id IS NOT NULL AND run_id = 2")
+@query("serial_dates", "SELECT ru_id, valuation_date AS back FROM valuation WHERE ru_id IS NOT NULL")
 def serial_dates(t: Tables) -> DataFrame:
-    return dates_back(t.valuation.where("run_id = 2"))
-
-
-@query("serial_dates_all", "SELECT ru_id, valuation_date AS back FROM valuation WHERE ru_id IS NOT NULL")
-def serial_dates_all(t: Tables) -> DataFrame:
     """The dates of every run's valuations from their serial numbers."""
-    return dates_back(t.valuation)
-
-
-def dates_back(valuations: DataFrame) -> DataFrame:
     n = F.datediff("valuation_date", F.lit("1899-12-30").cast("date"))
-    return valuations.where("ru_id is not null").select("ru_id", serial_date(n, "2000-01-01", "2030-01-01").alias("back"))
+    return t.valuation.where("ru_id is not null").select("ru_id", serial_date(n, "2000-01-01", "2030-01-01").alias("back"))
 
 
-@query("rounded_rents")
+@query("rounded_rents", "SELECT suburb_id, round_even(avg(est_gross_yield_pct), 2) AS mean_yield FROM market_snapshot WHERE suburb_id IS NOT NULL GROUP BY suburb_id")
 def rounded_rents(t: Tables) -> DataFrame:
     return t.market_snapshot.where("suburb_id is not null").groupBy("suburb_id").agg(F.avg("est_gross_yield_pct").alias("y")).select("suburb_id", python_round(2)("y").alias("mean_yield"))
 
@@ -341,12 +332,19 @@ def trimmed_texts(t: Tables) -> DataFrame:
 @query("text_traits")
 def text_traits(t: Tables) -> DataFrame:
     """Traits of each English text with the words that show them."""
-    return text.traits(t.documents.where(label_form(F.col("lang")) == "en"), "doc_id", "text").select("doc_id", F.explode("traits").alias("trait", "evidence"))
+    return english_traits(t).select("doc_id", F.explode("traits").alias("trait", "evidence"))
 
 
 @query("trait_coverage")
 def trait_coverage(t: Tables) -> DataFrame:
-    return text.coverage(text.traits(t.documents.where(label_form(F.col("lang")) == "en"), "doc_id", "text"))
+    return text.coverage(english_traits(t))
+
+
+def english_traits(t: Tables) -> DataFrame:
+    """The traits of each text whose label names English; the name of the place that a text is about shows nothing."""
+    names = t.suburb.where("suburb_id is not null").groupBy("suburb_id").agg(F.min("name").alias("place"))
+    docs = t.documents.where(label_form(F.col("lang")) == "en").select("doc_id", "text", "suburb_id").join(names, "suburb_id", "left")
+    return text.traits(docs, "doc_id", "text", "place")
 
 
 _MONEY = r"\$[0-9][0-9,]*(?:\.[0-9]+)?[mk]?"
@@ -369,12 +367,23 @@ def claims_supported(t: Tables) -> DataFrame:
     return text.supported(claims, facts, "suburb_id", 500.0, 0.002).groupBy("suburb_id").agg(F.count("*").alias("claims"), F.count_if("supported").alias("supported"))
 
 
+MODEL_FEATURES = ["cv_median", "cv_p25", "median_weekly_rent", "est_gross_yield_pct", "cbd_km", "population"]
+
+
+def _modelled(t: Tables, kind: str, rounds: int = 20) -> DataFrame:
+    return model.out_of_fold(overview(t).where(F.col("units") >= LEAST_UNITS), "suburb_id", "avg_house_value", MODEL_FEATURES, kind, categories=["major_name"], rounds=rounds)
+
+
 @query("agreement_model")
 def agreement_model(t: Tables) -> DataFrame:
-    """Out-of-fold errors of a ridge model of prices from council values and market figures."""
-    features = ["cv_median", "cv_p25", "median_weekly_rent", "est_gross_yield_pct", "cbd_km", "population"]
-    o = overview(t).where(F.col("units") >= LEAST_UNITS)
-    return model.scores(model.out_of_fold(o, "suburb_id", "avg_house_value", features))
+    """Out-of-fold errors of a ridge model and of boosted trees of prices from council values, market figures and district."""
+    return reduce(DataFrame.unionByName, [model.scores(_modelled(t, kind, 5)).select(F.lit(kind).alias("model"), "*") for kind in ("ridge", "boosted")])
+
+
+@query("agreement_bands")
+def agreement_bands(t: Tables) -> DataFrame:
+    """How far each suburb's price is off the ridge model, in bands of confidence."""
+    return model.bands(_modelled(t, "ridge"), "suburb_id")
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -12,10 +12,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Tables:
-    """The tables of a folder as attributes."""
+    """The tables of a folder as attributes; `seen` holds what a query has found out about them."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.seen = spark, folder, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)

@@ -13,23 +13,14 @@ from tidemark.plans.registry import Registry, Tables
 
 query = Registry()
 
-_CLAUSES = """cl AS (SELECT doc_id AS clause_id, CASE WHEN doc_id % 3 = 0 THEN []::INTEGER[] ELSE [CAST(doc_id % 50 AS INTEGER), CAST(doc_id % 7 AS INTEGER)] END AS zones, [CAST(doc_id % 11 AS INTEGER)] AS excluded FROM documents WHERE source = 'plan_clause'),
+_CLAUSES = r"""cl AS (SELECT doc_id AS clause_id, CASE WHEN doc_id % 3 = 0 THEN []::INTEGER[] ELSE [CAST(doc_id % 50 AS INTEGER), CAST(doc_id % 7 AS INTEGER)] END AS zones, [CAST(doc_id % 11 AS INTEGER)] AS excluded FROM documents WHERE regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') = 'plan_clause'),
   z AS (SELECT DISTINCT planning_zone_code AS zone FROM rating_unit WHERE planning_zone_code IS NOT NULL)"""
-_ALL_CLAUSES = _CLAUSES.replace("WHERE source = 'plan_clause'", r"WHERE regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') = 'plan_clause'")
 
 
 def clauses(t: Tables) -> DataFrame:
-    """Clauses with the zones they name (none: everywhere but the excluded ones)."""
-    return with_zones(t.documents.where("source = 'plan_clause'"))
-
-
-def all_clauses(t: Tables) -> DataFrame:
-    """The clauses of every spelling of their source."""
-    return with_zones(t.documents.where(source_form(F.col("source")) == "plan_clause"))
-
-
-def with_zones(rows: DataFrame) -> DataFrame:
+    """Clauses (their source in any spelling) with the zones they name (none: everywhere but the excluded ones)."""
     mod = lambda n: F.pmod("doc_id", F.lit(n)).cast("int")
+    rows = t.documents.where(source_form(F.col("source")) == "plan_clause")
     return rows.select(F.col("doc_id").alias("clause_id"), F.when(mod(3) == 0, F.array().cast("array<int>")).otherwise(F.array(mod(50), mod(7))).alias("zones"), F.array(mod(11)).alias("excluded"))
 
 
@@ -48,19 +39,10 @@ def scoped(c: DataFrame, z: DataFrame) -> DataFrame:
     return named.unionByName(everywhere)
 
 
-@query("zone_map", f"WITH {_CLAUSES} SELECT zone, count(*) AS clauses, list_sort(list(clause_id))[1] AS first_clause FROM z JOIN cl ON list_contains(zones, zone) OR (len(zones) = 0 AND NOT list_contains(excluded, zone)) GROUP BY zone")
+@query("zone_map", f"WITH {_CLAUSES} SELECT zone, count(*) AS clauses, list_sort(list(clause_id)) AS clause_ids FROM z JOIN cl ON list_contains(zones, zone) OR (len(zones) = 0 AND NOT list_contains(excluded, zone)) GROUP BY zone")
 def zone_map(t: Tables) -> DataFrame:
-    """Which clauses apply in each zone."""
-    return clauses_by_zone(t, clauses(t))
-
-
-@query("zone_map_all", f"WITH {_ALL_CLAUSES} SELECT zone, count(*) AS clauses, list_sort(list(clause_id))[1] AS first_clause FROM z JOIN cl ON list_contains(zones, zone) OR (len(zones) = 0 AND NOT list_contains(excluded, zone)) GROUP BY zone")
-def zone_map_all(t: Tables) -> DataFrame:
-    return clauses_by_zone(t, all_clauses(t))
-
-
-def clauses_by_zone(t: Tables, c: DataFrame) -> DataFrame:
-    return scoped(c, zones(t)).groupBy("zone").agg(F.count("*").alias("clauses"), F.min("clause_id").alias("first_clause"))
+    """Which clauses apply in each zone, in order."""
+    return scoped(clauses(t), zones(t)).groupBy("zone").agg(F.count("*").alias("clauses"), F.array_sort(F.collect_list("clause_id")).alias("clause_ids"))
 
 
 @query("clauses_of_zone", f"WITH {_CLAUSES} SELECT clause_id FROM cl WHERE CASE WHEN len(zones) = 0 THEN NOT list_contains(excluded, 20) ELSE list_contains(zones, 20) END")
@@ -68,25 +50,11 @@ def clauses_of_zone(t: Tables) -> DataFrame:
     return clauses(t).where(in_scope("zones", "excluded", F.lit(20))).select("clause_id")
 
 
-@query("clauses_of_zone_all", f"WITH {_ALL_CLAUSES} SELECT clause_id FROM cl WHERE CASE WHEN len(zones) = 0 THEN NOT list_contains(excluded, 20) ELSE list_contains(zones, 20) END")
-def clauses_of_zone_all(t: Tables) -> DataFrame:
-    return all_clauses(t).where(in_scope("zones", "excluded", F.lit(20))).select("clause_id")
-
-
 @query("clause_coverage", f"WITH {_CLAUSES} SELECT count(*) AS units, count(*) FILTER (planning_zone_code IN (SELECT unnest(zones) FROM cl)) AS covered FROM rating_unit WHERE planning_zone_code IS NOT NULL")
 def clause_coverage(t: Tables) -> DataFrame:
     """How many units lie in a zone that some clause names; units are counted by zone before the join."""
-    return covered_units(t, clauses(t))
-
-
-@query("clause_coverage_all", f"WITH {_ALL_CLAUSES} SELECT count(*) AS units, count(*) FILTER (planning_zone_code IN (SELECT unnest(zones) FROM cl)) AS covered FROM rating_unit WHERE planning_zone_code IS NOT NULL")
-def clause_coverage_all(t: Tables) -> DataFrame:
-    return covered_units(t, all_clauses(t))
-
-
-def covered_units(t: Tables, c: DataFrame) -> DataFrame:
     per = t.rating_unit.where("planning_zone_code is not null").groupBy(F.col("planning_zone_code").alias("zone")).agg(F.count("*").alias("n"))
-    named = c.select(F.explode("zones").alias("zone")).distinct().withColumn("hit", F.lit(True))
+    named = clauses(t).select(F.explode("zones").alias("zone")).distinct().withColumn("hit", F.lit(True))
     return per.join(named, "zone", "left").agg(F.sum("n").alias("units"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("covered"))
 
 

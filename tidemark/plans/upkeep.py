@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import zero_as_null
+from tidemark.functions.scalars import ratio, zero_as_null
 from tidemark.operators import quality, relational, scd
 from tidemark.plans.registry import Registry, Tables
 from tidemark.plans.views import _OVERVIEW, overview
@@ -18,7 +18,6 @@ from tidemark.sources.versions import VersionStore
 
 query = Registry()
 KEYS = ["bank", "product", "term"]
-MERGE_DATES = ["2025-02-01", "2025-05-03", "2025-08-02", "2025-11-01"]
 
 
 def scratch(t: Tables, name: str) -> str:
@@ -27,61 +26,62 @@ def scratch(t: Tables, name: str) -> str:
     return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def _snapshot(t: Tables, day: str) -> DataFrame:
-    rows = t.rate_snapshot.where((F.col("as_at") == F.lit(day).cast("date")) & (F.col("rate") > 0))
-    return rows.groupBy(*KEYS).agg(F.max(F.struct("fetched_at", "rate"))["rate"].alias("rate"))
+def snapshots(t: Tables) -> DataFrame:
+    """Every snapshot's rate of each key, as fetched last; null and 0 are no rate."""
+    rows = t.rate_snapshot.where("rate > 0 and as_at is not null and bank is not null and product is not null and term is not null")
+    return rows.groupBy(*KEYS, "as_at").agg(F.max(F.struct("fetched_at", "rate"))["rate"].alias("rate"))
 
 
-_SNAPS = f"""s AS (SELECT bank, product, term, as_at, rate FROM (SELECT *, row_number() OVER (PARTITION BY bank, product, term, as_at ORDER BY fetched_at DESC, rate DESC) AS rn FROM rate_snapshot
-  WHERE as_at IN ({', '.join(f"DATE '{d}'" for d in MERGE_DATES)}) AND rate > 0) WHERE rn = 1)"""
-_GRID = f"""{_SNAPS}, d AS (SELECT unnest([{', '.join(f"DATE '{d}'" for d in MERGE_DATES)}]) AS as_at), g AS (SELECT k.*, d.as_at, s.rate FROM (SELECT DISTINCT bank, product, term FROM s) k CROSS JOIN d LEFT JOIN s USING (bank, product, term, as_at)),
-  c AS (SELECT *, lag(rate) OVER (PARTITION BY bank, product, term ORDER BY as_at) AS was FROM g)"""
+_SNAPS = """s AS (SELECT bank, product, term, as_at, rate FROM (SELECT *, row_number() OVER (PARTITION BY bank, product, term, as_at ORDER BY fetched_at DESC NULLS LAST, rate DESC) AS rn FROM rate_snapshot
+  WHERE rate > 0 AND as_at IS NOT NULL AND bank IS NOT NULL AND product IS NOT NULL AND term IS NOT NULL) WHERE rn = 1{upto})"""
 
 
-@query("scd_merge", f"""WITH {_GRID}, v AS (SELECT *, lead(as_at) OVER (PARTITION BY bank, product, term ORDER BY as_at) AS upto FROM c WHERE rate IS DISTINCT FROM was)
-  SELECT bank, product, term, rate, as_at AS valid_from, upto AS valid_to, upto IS NULL AS is_current FROM v WHERE rate IS NOT NULL""")
+def _grid(upto: str = "") -> str:
+    return f"""{_SNAPS.format(upto=upto)}, d AS (SELECT DISTINCT as_at FROM s), g AS (SELECT k.*, d.as_at, s.rate FROM (SELECT DISTINCT bank, product, term FROM s) k CROSS JOIN d LEFT JOIN s USING (bank, product, term, as_at)),
+  c AS (SELECT *, lag(rate) OVER (PARTITION BY bank, product, term ORDER BY as_at) AS was FROM g),
+  v AS (SELECT *, lead(as_at) OVER (PARTITION BY bank, product, term ORDER BY as_at) AS upto FROM c WHERE rate IS DISTINCT FROM was)"""
+
+
+@query("scd_merge", f"WITH {_grid()} SELECT bank, product, term, rate, as_at AS valid_from, upto AS valid_to, upto IS NULL AS is_current FROM v WHERE rate IS NOT NULL")
 def scd_merge(t: Tables) -> DataFrame:
-    """Four snapshots merged one after the other into an interval table."""
-    table = scd.opened(_snapshot(t, MERGE_DATES[0]), KEYS, "rate", MERGE_DATES[0])
-    for day in MERGE_DATES[1:]:
-        table = checkpointed(scd.merge(table, _snapshot(t, day), KEYS, "rate", day))
-    return table
+    """Every snapshot merged into an interval table, in one pass over all of them."""
+    return scd.replay(snapshots(t), KEYS, "rate", "as_at")
 
 
-@query("scd_counts", f"""WITH {_GRID} SELECT strftime(as_at, '%Y-%m-%d') AS as_at, count(*) FILTER (was IS NULL AND rate IS NOT NULL) AS opened, count(*) FILTER (was <> rate) AS repriced,
-  count(*) FILTER (was IS NOT NULL AND rate IS NULL) AS delisted, count(*) FILTER (was = rate) AS unchanged FROM c WHERE as_at > DATE '{MERGE_DATES[0]}' GROUP BY as_at""")
+@query("scd_counts", f"""WITH {_grid()} SELECT as_at, count(*) FILTER (was IS NULL AND rate IS NOT NULL) AS opened, count(*) FILTER (was <> rate) AS repriced,
+  count(*) FILTER (was IS NOT NULL AND rate IS NULL) AS delisted, count(*) FILTER (was = rate) AS unchanged FROM c GROUP BY as_at""")
 def scd_counts(t: Tables) -> DataFrame:
-    """What each merge does."""
-    out = []
-    for old, new in zip(MERGE_DATES, MERGE_DATES[1:]):
-        c = scd.classify(scd.opened(_snapshot(t, old), KEYS, "rate", old), _snapshot(t, new), KEYS, "rate")
-        out.append(scd.counts(c).select(F.lit(new).alias("as_at"), "*"))
-    return reduce(DataFrame.unionByName, out)
+    """What each snapshot does."""
+    return scd.replay_counts(snapshots(t), KEYS, "rate", "as_at").withColumnRenamed("at", "as_at")
+
 
+_HALF = "2025-06-30"
 
-@query("time_travel", f"WITH {_SNAPS} SELECT 0 AS version, count(*) AS rows, round(sum(rate), 2) AS total FROM s WHERE as_at = DATE '{MERGE_DATES[0]}' UNION ALL SELECT 1, count(*), round(sum(rate), 2) FROM s WHERE as_at = DATE '{MERGE_DATES[1]}'")
+
+@query("time_travel", f"""SELECT 0 AS version, (SELECT count(*) FROM (WITH {_grid(f" AND as_at <= DATE '{_HALF}'")} SELECT * FROM v WHERE rate IS NOT NULL)) AS rows, (SELECT count(*) FROM (WITH {_grid(f" AND as_at <= DATE '{_HALF}'")} SELECT * FROM v WHERE rate IS NOT NULL AND upto IS NULL)) AS open
+  UNION ALL SELECT 1, (SELECT count(*) FROM (WITH {_grid()} SELECT * FROM v WHERE rate IS NOT NULL)), (SELECT count(*) FROM (WITH {_grid()} SELECT * FROM v WHERE rate IS NOT NULL AND upto IS NULL))""")
 def time_travel(t: Tables) -> DataFrame:
-    """Two versions written to a store; the first is still readable after the second."""
-    store = VersionStore(t.spark, scratch(t, "rates"))
-    for day in MERGE_DATES[:2]:
-        store.write(_snapshot(t, day), {"as_at": day})
-    versions = [store.read(v).agg(F.lit(v).alias("version"), F.count("*").alias("rows"), F.round(F.sum("rate"), 2).alias("total")) for v in (0, 1)]
+    """The interval table of half a year and of the whole as two versions of a store; the first is still readable after the second."""
+    store, rows = VersionStore(t.spark, scratch(t, "rates")), snapshots(t)
+    store.write(scd.replay(rows.where(F.col("as_at") <= F.lit(_HALF).cast("date")), KEYS, "rate", "as_at"), {"as_at": _HALF})
+    store.write(scd.replay(rows, KEYS, "rate", "as_at"))
+    versions = [store.read(v).agg(F.lit(v).alias("version"), F.count("*").alias("rows"), F.count_if("is_current").alias("open")) for v in (0, 1)]
     return versions[0].unionByName(versions[1])
 
 
-@query("append_new_suburbs", "SELECT count(DISTINCT suburb_id) AS appended FROM market_snapshot WHERE source_as_at = DATE '2025-12-04' AND suburb_id NOT IN (SELECT suburb_id FROM market_snapshot WHERE source_as_at < DATE '2025-12-04' AND suburb_id IS NOT NULL)")
+@query("append_new_suburbs", "SELECT count(DISTINCT suburb_id) AS appended FROM market_snapshot WHERE source_as_at = (SELECT max(source_as_at) FROM market_snapshot) AND suburb_id NOT IN (SELECT suburb_id FROM market_snapshot WHERE source_as_at < (SELECT max(source_as_at) FROM market_snapshot) AND suburb_id IS NOT NULL)")
 def append_new_suburbs(t: Tables) -> DataFrame:
     """How many suburbs of the last release an idempotent append adds to the earlier ones."""
-    last = F.col("source_as_at") == F.lit("2025-12-04").cast("date")
-    return relational.append_new(t.market_snapshot.where(F.col("source_as_at") < F.lit("2025-12-04").cast("date")), t.market_snapshot.where(last), ["suburb_id"]).agg(F.count("*").alias("appended"))
+    newest = t.market_snapshot.agg(F.max("source_as_at")).scalar()
+    return relational.append_new(t.market_snapshot.where(F.col("source_as_at") < newest), t.market_snapshot.where(F.col("source_as_at") == newest), ["suburb_id"]).agg(F.count("*").alias("appended"))
 
 
-@query("upsert_suburbs", "SELECT zone, count(*) AS suburbs, sum(CASE WHEN zone = 'Central' THEN 0 ELSE coalesce(population_linz, 0) END)::BIGINT AS population FROM suburb GROUP BY zone")
+@query("upsert_suburbs", "SELECT major_name, count(*) AS suburbs, sum(CASE WHEN suburb_id % 3 = 0 THEN 7 ELSE coalesce(population_linz, 0) END)::BIGINT AS population FROM suburb GROUP BY major_name")
 def upsert_suburbs(t: Tables) -> DataFrame:
-    """A correction of one zone's populations merged into the suburbs by key."""
-    s = t.suburb.select("suburb_id", "zone", "population_linz")
-    fixed = s.where("zone = 'Central'").withColumn("population_linz", F.lit(0))
-    return relational.upsert(s, fixed, ["suburb_id"]).groupBy("zone").agg(F.count("*").alias("suburbs"), F.sum(F.coalesce("population_linz", F.lit(0))).alias("population"))
+    """A correction of some suburbs' populations (those whose id divides by three: the rows that the update is about) merged into all by key."""
+    s = t.suburb.select("suburb_id", "major_name", "population_linz")
+    fixed = s.where("suburb_id % 3 = 0").withColumn("population_linz", F.lit(7))
+    return relational.upsert(s, fixed, ["suburb_id"]).groupBy("major_name").agg(F.count("*").alias("suburbs"), F.sum(F.coalesce("population_linz", F.lit(0))).alias("population"))
 
 
 @query("rekeyed_history", """WITH n AS (SELECT lower(strip_accents(trim(name))) AS k, min(suburb_id) AS new_id FROM suburb WHERE name IS NOT NULL GROUP BY 1)
@@ -111,19 +111,20 @@ _PROFILE_SQL = f"""{_OVERVIEW} SELECT 'rating_units' AS metric, count(*)::DOUBLE
   UNION ALL SELECT 'suburbs_priced', count(avg_house_value) / count(*) FROM ov
   UNION ALL SELECT 'suburbs_with_cv', count(cv_median) / count(*) FROM ov
   UNION ALL SELECT 'median_suburb_value', median(avg_house_value) FROM ov
+  UNION ALL SELECT 'median_agreement', median(avg_house_value / cv_median) FROM ov
   UNION ALL SELECT 'carded_rates_current', (count(*) FILTER (is_current))::DOUBLE FROM bank_rate"""
 
 
 @query("quality_profile", _PROFILE_SQL)
 def quality_profile(t: Tables) -> DataFrame:
     """The warehouse's metrics, one scan of each table for each group of them."""
-    o, u = overview(t), t.rating_unit
-    return quality.metrics({
-        "rating_units": (u, F.count("*")), "ru_with_suburb": (u, quality.share(F.col("suburb_id").isNotNull())), "ru_with_address": (u, quality.share(F.length("address") > 5)),
-        "ru_with_land_area": (u, quality.share(F.col("land_area_m2") > 0)), "valuations_with_cv": (t.valuation, quality.share(F.col("cv") > 0)),
-        "suburbs_priced": (o, quality.share(F.col("avg_house_value").isNotNull())), "suburbs_with_cv": (o, quality.share(F.col("cv_median").isNotNull())),
-        "median_suburb_value": (o, F.median("avg_house_value")), "carded_rates_current": (t.bank_rate, F.count_if("is_current")),
-    })
+    agreed = F.col("cv_median").isNotNull() & F.col("avg_house_value").isNotNull()
+    return quality.metrics([
+        (t.rating_unit, {"rating_units": F.count("*"), "ru_with_suburb": quality.share(F.col("suburb_id").isNotNull()), "ru_with_address": quality.share(F.length("address") > 5), "ru_with_land_area": quality.share(F.col("land_area_m2") > 0)}),
+        (t.valuation, {"valuations_with_cv": quality.share(F.col("cv") > 0)}),
+        (overview(t), {"suburbs_priced": quality.share(F.col("avg_house_value").isNotNull()), "suburbs_with_cv": quality.share(F.col("cv_median").isNotNull()), "median_suburb_value": F.median("avg_house_value"), "median_agreement": F.median(F.when(agreed, ratio(F.col("avg_house_value"), F.col("cv_median"))))}),
+        (t.bank_rate, {"carded_rates_current": F.count_if("is_current")}),
+    ])
 
 
 @query("metric_history", "SELECT metric, count(*) AS runs, min(value) AS low, max(value) AS high, arg_max(value, (measured_at, value)) FILTER (value IS NOT NULL) AS latest FROM data_quality GROUP BY metric")
@@ -150,12 +151,19 @@ def source_gates(t: Tables) -> DataFrame:
     return quality.gate(t.suburb, "suburb", 24, {"centroid": 0.5}).unionByName(quality.gate(t.valuation, "valuation", 1_000_000_000, {"cv": 0.5})).drop("message")
 
 
+def newest_releases(t: Tables) -> list:
+    """The dates of the last two releases, the last first: two rows of a table of dates."""
+    rows = t.market_snapshot.select("source_as_at").where("source_as_at is not null").distinct().orderBy(F.col("source_as_at").desc()).limit(2).collect()
+    return [*[r[0] for r in rows], None, None][:2]
+
+
 @query("price_drift", """WITH m AS (SELECT suburb_id, source_as_at, max(nullif(avg_house_value, 0)) AS v FROM market_snapshot WHERE suburb_id IS NOT NULL GROUP BY ALL)
-  SELECT a.suburb_id, a.v AS old, b.v AS new, round(abs(b.v - a.v) / a.v, 6) AS drift FROM m a JOIN m b USING (suburb_id) WHERE a.source_as_at = DATE '2025-11-03' AND b.source_as_at = DATE '2025-12-04' AND abs(b.v - a.v) / a.v > 0.02""")
+  SELECT a.suburb_id, a.v AS old, b.v AS new, round(abs(b.v - a.v) / a.v, 6) AS drift FROM m a JOIN m b USING (suburb_id) WHERE a.source_as_at = (SELECT max(source_as_at) FROM market_snapshot WHERE source_as_at < (SELECT max(source_as_at) FROM market_snapshot)) AND b.source_as_at = (SELECT max(source_as_at) FROM market_snapshot) AND abs(b.v - a.v) / a.v > 0.02""")
 def price_drift(t: Tables) -> DataFrame:
     """Suburbs whose price moved by more than two per cent between the last two releases."""
+    newest, before = newest_releases(t)
     on = lambda day: t.market_snapshot.where((F.col("source_as_at") == F.lit(day).cast("date")) & F.col("suburb_id").isNotNull()).groupBy("suburb_id").agg(F.max(zero_as_null(F.col("avg_house_value"))).alias("v"))
-    return quality.drift(on("2025-11-03"), on("2025-12-04"), "suburb_id", "v", 0.02).withColumn("drift", F.round("drift", 6))
+    return quality.drift(on(before), on(newest), "suburb_id", "v", 0.02).withColumn("drift", F.round("drift", 6))
 
 
 @query("source_freshness", """SELECT bank AS source, CAST(max(fetched_at) AS DATE) AS newest, date_diff('day', CAST(max(fetched_at) AS DATE), DATE '2025-12-31') AS days_old, date_diff('day', CAST(max(fetched_at) AS DATE), DATE '2025-12-31') > 7 AS stale FROM rate_snapshot GROUP BY bank""")
@@ -195,17 +203,18 @@ def sink_round_trip(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, back)
 
 
-@query("html_tables", "WITH r AS (SELECT bank, product, term, max(rate) AS rate FROM rate_snapshot WHERE as_at = DATE '2025-06-07' AND rate > 0 GROUP BY ALL) SELECT trim(regexp_replace(bank, ' +', ' ', 'g')) AS bank, trim(regexp_replace(product, ' +', ' ', 'g')) AS product, trim(regexp_replace(term, ' +', ' ', 'g')) AS term, round(rate, 2) AS rate FROM r")
+@query("html_tables", """WITH r AS (SELECT bank, as_at, product, term, max(rate) AS rate FROM rate_snapshot WHERE rate > 0 AND bank IS NOT NULL AND as_at IS NOT NULL AND product IS NOT NULL AND term IS NOT NULL GROUP BY ALL)
+  SELECT bank, as_at, trim(regexp_replace(product, ' +', ' ', 'g')) AS product, trim(regexp_replace(term, ' +', ' ', 'g')) AS term, round(rate, 2) AS rate FROM r""")
 def html_tables(t: Tables) -> DataFrame:
-    """Rate tables rendered as pages and scanned back from their cells."""
-    r = t.rate_snapshot.where("as_at = date'2025-06-07' and rate > 0").groupBy("bank", "product", "term").agg(F.max("rate").alias("rate"))
+    """Rate cards of every bank and date rendered as pages and read back by their header, products named on their first row only."""
+    r = t.rate_snapshot.where("rate > 0 and bank is not null and as_at is not null and product is not null and term is not null").groupBy("bank", "as_at", "product", "term").agg(F.max("rate").alias("rate"))
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.col(c), "&", "&amp;"), "<", "&lt;")
-    row = F.concat(F.lit("<tr><td>"), esc("product"), F.lit("</td><td>"), esc("term"), F.lit("</td><td><b>"), F.round("rate", 2).cast("decimal(10,2)").cast("string"), F.lit("</b> %</td></tr>"))
-    pages = r.withColumn("row", row).groupBy("bank").agg(F.concat(F.lit("<table><tr><th>Product<th>Term<th>Rate</tr>"), F.array_join(F.collect_list("row"), ""), F.lit("</table>")).alias("html"))
-    cells = files.html_cells(pages, "bank", "html").where("row > 0")
-    one = lambda k: F.max(F.when(F.col("cell") == k, F.col("text")))
-    rows = cells.groupBy("bank", "table", "row").agg(one(0).alias("product"), one(1).alias("term"), F.regexp_extract(one(2), r"([0-9.]+)", 1).cast("double").alias("rate"))
-    return rows.select(F.trim(F.regexp_replace("bank", " +", " ")).alias("bank"), "product", "term", "rate")
+    first = F.row_number().over(Window.partitionBy("bank", "as_at", "product").orderBy("term")) == 1
+    # a product's further terms stand below it, in rows without its name
+    row = F.concat(F.lit("<tr><td>"), F.when(first, esc("product")).otherwise(""), F.lit("</td><td><b>"), F.round("rate", 2).cast("decimal(10,2)").cast("string"), F.lit("</b> %</td><td>"), esc("term"), F.lit("</td></tr>"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("product", "term", "row"))), lambda x: x["row"]), "")
+    pages = r.withColumn("row", row).groupBy("bank", "as_at").agg(F.concat(F.lit("<table><tr><th>Product<th>Rate p.a.<th>Term</tr>"), lines, F.lit("</table>")).alias("html")).withColumn("page", F.struct("bank", "as_at"))
+    return files.rate_card(pages, "page", "html").select("page.bank", "page.as_at", "product", "term", "rate")
 
 
 @query("decoded_zones", "SELECT CASE WHEN planning_zone_code IS NULL THEN NULL WHEN planning_zone_code <= 40 THEN 'zone ' || planning_zone_code ELSE 'UNKNOWN (' || planning_zone_code || ')' END AS zone_name, count(*) AS units FROM rating_unit GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ def rounds(t: Tables) -> DataFrame:
 _MARKET = """mk AS (
   SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY suburb_id ORDER BY source_as_at DESC, captured_at DESC, avg_house_value DESC NULLS LAST, median_weekly_rent DESC NULLS LAST,
     est_gross_yield_pct DESC NULLS LAST, population DESC NULLS LAST) AS rn FROM market_snapshot WHERE suburb_id IS NOT NULL) WHERE rn = 1)"""
+#: 0 means missing in the market's figures.
+_FIGURES = ["avg_house_value", "median_weekly_rent", "est_gross_yield_pct", "population", "median_days_to_sell"]
 _MARKET_COLUMNS = ["suburb_id", "source_as_at", "avg_house_value", "median_weekly_rent", "est_gross_yield_pct", "population"]
 
 
@@ -40,17 +44,35 @@ def suburb_market(t: Tables) -> DataFrame:
     return relational.latest(t.market_snapshot.where("suburb_id is not null"), ["suburb_id"], order).select(_MARKET_COLUMNS)
 
 
-_CURRENT = f"{_ROUNDS}, cur AS (SELECT r.*, v.valuation_date, v.cv, v.lv FROM rating_unit r JOIN val v USING (ru_id) WHERE v.valuation_date = DATE '2024-05-01')"
-CURRENT_ROUND, PREVIOUS_ROUND = "2024-05-01", "2021-06-01"
+#: A region-wide round is a date that values at least this share of as many units as the date that values most; all else are interim dates.
+ROUND_SHARE = 0.5
+_ROUND_DATES = f"""rd AS (SELECT valuation_date AS d, row_number() OVER (ORDER BY valuation_date DESC) AS age FROM (SELECT valuation_date, count(DISTINCT ru_id) AS n FROM valuation WHERE ru_id IS NOT NULL AND valuation_date IS NOT NULL GROUP BY 1)
+  WHERE n >= {ROUND_SHARE} * (SELECT max(n) FROM (SELECT count(DISTINCT ru_id) AS n FROM valuation WHERE ru_id IS NOT NULL AND valuation_date IS NOT NULL GROUP BY valuation_date)))"""
+_NOW, _THEN = "(SELECT d FROM rd WHERE age = 1)", "(SELECT d FROM rd WHERE age = 2)"
+_CURRENT = f"{_ROUNDS}, {_ROUND_DATES}, cur AS (SELECT r.*, v.valuation_date, v.cv, v.lv FROM rating_unit r JOIN val v USING (ru_id) WHERE v.valuation_date = {_NOW})"
+
 
+def round_dates(t: Tables) -> list[date | None]:
+    """The dates of the last two rounds. As there are few dates, what comes to the driver is one row for each."""
+    if "rounds" in t.seen:
+        return t.seen["rounds"]
+    per = t.valuation.where("ru_id is not null and valuation_date is not null").groupBy("valuation_date").agg(F.approx_count_distinct("ru_id").alias("n"))
+    rows = per.collect()
+    most = max((r["n"] for r in rows), default=0)
+    t.seen["rounds"] = [*sorted((r["valuation_date"] for r in rows if r["n"] >= ROUND_SHARE * most), reverse=True)[:2], None, None][:2]
+    return t.seen["rounds"]
 
-def current(t: Tables, on: str = CURRENT_ROUND) -> DataFrame:
-    """Rating units with their values of one region-wide round; the date is pushed into the scan of the fact."""
-    return t.rating_unit.join(rounds_on(t, on), "ru_id")
 
+def current(t: Tables) -> DataFrame:
+    """Rating units with their values of the last region-wide round."""
+    return t.rating_unit.join(rounds_on(t, round_dates(t)[0]), "ru_id")
 
-def rounds_on(t: Tables, on: str) -> DataFrame:
-    return last_loaded(t.valuation.where(F.col("valuation_date") == F.lit(on).cast("date")))
+
+def rounds_on(t: Tables, on: date | None) -> DataFrame:
+    """(ru_id, cv, lv, valuation_date) of one date, the last loaded row of each unit; the date is pushed into the scan, and rows are grouped by the key that they are joined by."""
+    last = F.max(F.struct(F.coalesce("run_id", F.lit(-1)).alias("run"), "cv", "lv")).alias("s")
+    rows = t.valuation.where((F.col("valuation_date") == F.lit(on).cast("date")) & F.col("ru_id").isNotNull())
+    return rows.groupBy("ru_id").agg(last).select("ru_id", F.lit(on).cast("date").alias("valuation_date"), "s.cv", "s.lv")
 
 
 @query(
@@ -60,7 +82,9 @@ def rounds_on(t: Tables, on: str) -> DataFrame:
 def rating_unit_current(t: Tables) -> DataFrame:
     """Units with their value at the latest date of all: a scalar subquery that is pushed into the scan."""
     newest = t.valuation.agg(F.max("valuation_date")).scalar()
-    return t.rating_unit.select("ru_id", "suburb_id", "planning_zone_code").join(last_loaded(t.valuation.where(F.col("valuation_date") == newest)), "ru_id")
+    last = F.max(F.struct(F.coalesce("run_id", F.lit(-1)).alias("run"), "cv", "lv", "valuation_date")).alias("s")
+    rows = t.valuation.where((F.col("valuation_date") == newest) & F.col("ru_id").isNotNull()).groupBy("ru_id").agg(last).select("ru_id", "s.valuation_date", "s.cv", "s.lv")
+    return t.rating_unit.select("ru_id", "suburb_id", "planning_zone_code").join(rows, "ru_id")
 
 
 _BY_SUBURB = "bs AS (SELECT suburb_id, count(*) AS units, CAST(round_even(median(cv), 0) AS BIGINT) AS cv_median, CAST(round_even(quantile_cont(cv, 0.25), 0) AS BIGINT) AS cv_p25, CAST(round_even(quantile_cont(cv, 0.75), 0) AS BIGINT) AS cv_p75 FROM cur WHERE cv > 0 GROUP BY suburb_id)"
@@ -72,14 +96,15 @@ def values_by_suburb(t: Tables) -> DataFrame:
     return units.groupBy("suburb_id").agg(F.count("*").alias("units"), quantile(0.5).alias("cv_median"), quantile(0.25).alias("cv_p25"), quantile(0.75).alias("cv_p75"))
 
 
-_OVERVIEW = f"WITH {_MARKET}, {_CURRENT}, {_BY_SUBURB}, ov AS (SELECT s.suburb_id, s.name, s.zone, s.local_board, s.cbd_km, m.avg_house_value, m.est_gross_yield_pct, m.median_weekly_rent, m.population, m.median_days_to_sell, m.sold_last_12m, b.units, b.cv_median, b.cv_p25, b.cv_p75 FROM suburb s LEFT JOIN mk m USING (suburb_id) LEFT JOIN bs b USING (suburb_id))"
-_OVERVIEW_COLUMNS = ["suburb_id", "name", "zone", "local_board", "cbd_km", "avg_house_value", "est_gross_yield_pct", "median_weekly_rent", "population", "median_days_to_sell", "sold_last_12m", "units", "cv_median", "cv_p25", "cv_p75"]
+_OVERVIEW = f"WITH {_MARKET}, {_CURRENT}, {_BY_SUBURB}, ov AS (SELECT s.suburb_id, s.name, s.zone, s.major_name, s.local_board, s.cbd_km, nullif(m.avg_house_value, 0) AS avg_house_value, nullif(m.est_gross_yield_pct, 0) AS est_gross_yield_pct, nullif(m.median_weekly_rent, 0) AS median_weekly_rent, nullif(m.population, 0) AS population, nullif(m.median_days_to_sell, 0) AS median_days_to_sell, m.sold_last_12m, b.units, b.cv_median, b.cv_p25, b.cv_p75 FROM suburb s LEFT JOIN mk m USING (suburb_id) LEFT JOIN bs b USING (suburb_id))"
+_OVERVIEW_COLUMNS = ["suburb_id", "name", "zone", "major_name", "local_board", "cbd_km", "avg_house_value", "est_gross_yield_pct", "median_weekly_rent", "population", "median_days_to_sell", "sold_last_12m", "units", "cv_median", "cv_p25", "cv_p75"]
 
 
 def overview(t: Tables) -> DataFrame:
     """Everything about a suburb on one row: its latest release and the values of its units."""
     order = [F.col(c).desc_nulls_last() for c in ["source_as_at", "captured_at", "avg_house_value", "median_weekly_rent", "est_gross_yield_pct", "population"]]
     market = relational.latest(t.market_snapshot.where("suburb_id is not null"), ["suburb_id"], order)
+    market = market.withColumns({c: F.nullif(c, F.lit(0)) for c in _FIGURES})
     return t.suburb.join(market.drop("zone"), "suburb_id", "left").join(values_by_suburb(t), "suburb_id", "left").select(_OVERVIEW_COLUMNS)
 
 
@@ -121,14 +146,15 @@ def revaluation_rounds(t: Tables) -> DataFrame:
 
 @query(
     "revaluation_by_suburb",
-    f"""WITH {_ROUNDS} SELECT s.name, s.suburb_id, count(*) AS units, round(median((b.cv - a.cv) / a.cv) * 100, 1) AS pct_change FROM val a JOIN val b ON a.ru_id = b.ru_id JOIN rating_unit r ON r.ru_id = a.ru_id JOIN suburb s USING (suburb_id)
-    WHERE a.valuation_date = DATE '{PREVIOUS_ROUND}' AND b.valuation_date = DATE '{CURRENT_ROUND}' AND a.cv > 0 AND b.cv > 0 GROUP BY s.name, s.suburb_id HAVING count(*) >= {LEAST_UNITS}""",
+    f"""WITH {_ROUNDS}, {_ROUND_DATES} SELECT s.name, s.suburb_id, count(*) AS units, round(median((b.cv - a.cv) / a.cv) * 100, 1) AS pct_change FROM val a JOIN val b ON a.ru_id = b.ru_id JOIN rating_unit r ON r.ru_id = a.ru_id JOIN suburb s USING (suburb_id)
+    WHERE a.valuation_date = {_THEN} AND b.valuation_date = {_NOW} AND a.cv > 0 AND b.cv > 0 GROUP BY s.name, s.suburb_id HAVING count(*) >= {LEAST_UNITS}""",
 )
 def revaluation_by_suburb(t: Tables) -> DataFrame:
-    """Two rounds given as literals: both dates reach the scans."""
-    a = rounds_on(t, PREVIOUS_ROUND).where("cv > 0").select("ru_id", F.col("cv").alias("c1"))
-    b = rounds_on(t, CURRENT_ROUND).where("cv > 0").select("ru_id", F.col("cv").alias("c2"))
-    rows = a.join(b, "ru_id").join(t.rating_unit.select("ru_id", "suburb_id"), "ru_id").join(t.suburb.select("suburb_id", "name"), "suburb_id")
+    """The last two rounds side by side, from one pass over the rows of both dates: no self-join."""
+    now, then = round_dates(t)
+    last = lambda on, c: F.max(F.when(F.col("valuation_date") == F.lit(on).cast("date"), F.struct(F.coalesce("run_id", F.lit(-1)).alias("run"), "cv", "lv")))["cv"].alias(c)
+    rows = t.valuation.where(F.col("valuation_date").isin(now, then) & F.col("ru_id").isNotNull()).groupBy("ru_id").agg(last(then, "c1"), last(now, "c2")).where("c1 > 0 and c2 > 0")
+    rows = rows.join(t.rating_unit.select("ru_id", "suburb_id"), "ru_id").join(t.suburb.select("suburb_id", "name"), "suburb_id")
     return rows.groupBy("name", "suburb_id").agg(F.count("*").alias("units"), F.round(F.median((F.col("c2") - F.col("c1")) / F.col("c1")) * 100, 1).alias("pct_change")).where(F.col("units") >= LEAST_UNITS)
 
 
@@ -140,22 +166,22 @@ def shortlist(t: Tables) -> DataFrame:
 
 
 _E, _N = nztm_sql("lon", "lat")
-_AT = (172.7, -37.6)
+_AT = (171.9, -37.75)
 _AE, _AN = nztm_sql(repr(_AT[0]), f"({_AT[1]!r})")
 RADIUS_M = 15_000
 
 
 @query(
     "within_radius",
-    f"""WITH {_ROUNDS}, u AS (SELECT r.*, {_E} AS e, {_N} AS n FROM rating_unit r WHERE lon BETWEEN 166 AND 179 AND lat BETWEEN -47 AND -34)
+    f"""WITH {_ROUNDS}, {_ROUND_DATES}, u AS (SELECT r.*, {_E} AS e, {_N} AS n FROM rating_unit r WHERE lon BETWEEN 166 AND 179 AND lat BETWEEN -47 AND -34)
     SELECT s.name, count(*) AS units, CAST(round_even(median(v.cv), 0) AS BIGINT) AS cv_median FROM u JOIN val v USING (ru_id) JOIN suburb s USING (suburb_id)
-    WHERE v.valuation_date = DATE '{CURRENT_ROUND}' AND pow(e - {_AE}, 2) + pow(n - {_AN}, 2) <= {RADIUS_M**2} GROUP BY s.name""",
+    WHERE v.valuation_date = {_NOW} AND pow(e - {_AE}, 2) + pow(n - {_AN}, 2) <= {RADIUS_M**2} GROUP BY s.name""",
 )
 def within_radius(t: Tables) -> DataFrame:
     """Units within a distance of a point on the national grid, medians by suburb. A box in degrees reaches the scan first."""
     box = f"lon between {_AT[0] - 0.25} and {_AT[0] + 0.25} and lat between {_AT[1] - 0.2} and {_AT[1] + 0.2}"
     near = t.rating_unit.where(box).where(F.expr(f"pow({_E} - {_AE}, 2) + pow({_N} - {_AN}, 2) <= {RADIUS_M**2}")).select("ru_id", "suburb_id")
-    rows = rounds_on(t, CURRENT_ROUND).join(near, "ru_id").join(t.suburb.select("suburb_id", "name"), "suburb_id")
+    rows = rounds_on(t, round_dates(t)[0]).join(near, "ru_id").join(t.suburb.select("suburb_id", "name"), "suburb_id")
     return rows.groupBy("name").agg(F.count("*").alias("units"), half_even_long(F.median("cv")).alias("cv_median"))
 
 
@@ -183,19 +209,20 @@ def land_value_per_m2(t: Tables) -> DataFrame:
 
 @query(
     "property_search",
-    f"WITH {_CURRENT} SELECT c.address, c.land_area_m2, a.cv AS cv_before, c.cv AS cv_now, round((c.cv - a.cv) / nullif(a.cv, 0) * 100, 1) AS pct_change FROM cur c JOIN val a ON a.ru_id = c.ru_id AND a.valuation_date = DATE '{PREVIOUS_ROUND}' WHERE c.address ILIKE '12 %'",
+    f"WITH {_CURRENT} SELECT c.address, c.land_area_m2, a.cv AS cv_before, c.cv AS cv_now, round((c.cv - a.cv) / nullif(a.cv, 0) * 100, 1) AS pct_change FROM cur c JOIN val a ON a.ru_id = c.ru_id AND a.valuation_date = {_THEN} WHERE c.address ILIKE '12 %'",
 )
 def property_search(t: Tables) -> DataFrame:
     """Properties by the start of their address, with what the revaluation did to them."""
     units = t.rating_unit.where(F.col("address").ilike("12 %")).select("ru_id", "address", "land_area_m2")
-    rows = rounds_on(t, CURRENT_ROUND).select("ru_id", F.col("cv").alias("cv_now")).join(units, "ru_id").join(rounds_on(t, PREVIOUS_ROUND).select("ru_id", F.col("cv").alias("cv_before")), "ru_id")
+    now, then = round_dates(t)
+    rows = rounds_on(t, now).select("ru_id", F.col("cv").alias("cv_now")).join(units, "ru_id").join(rounds_on(t, then).select("ru_id", F.col("cv").alias("cv_before")), "ru_id")
     return rows.select("address", "land_area_m2", "cv_before", "cv_now", F.round(ratio(F.col("cv_now") - F.col("cv_before"), F.col("cv_before")) * 100, 1).alias("pct_change"))
 
 
-@query("entry_price_by_zone", f"{_OVERVIEW} SELECT zone, count(*) AS suburbs, round(median(cv_p25)) AS median_entry_price, round(median(avg_house_value)) AS median_avg_value FROM ov WHERE cv_p25 IS NOT NULL AND zone IS NOT NULL GROUP BY zone")
+@query("entry_price_by_zone", f"{_OVERVIEW} SELECT zone, major_name, count(*) AS suburbs, round(median(cv_p25)) AS median_entry_price, round(median(avg_house_value)) AS median_avg_value FROM ov WHERE cv_p25 IS NOT NULL AND zone IS NOT NULL GROUP BY zone, major_name")
 def entry_price_by_zone(t: Tables) -> DataFrame:
     rows = overview(t).where("cv_p25 is not null and zone is not null")
-    return rows.groupBy("zone").agg(F.count("*").alias("suburbs"), F.round(F.median("cv_p25"), 0).alias("median_entry_price"), F.round(F.median("avg_house_value"), 0).alias("median_avg_value"))
+    return rows.groupBy("zone", "major_name").agg(F.count("*").alias("suburbs"), F.round(F.median("cv_p25"), 0).alias("median_entry_price"), F.round(F.median("avg_house_value"), 0).alias("median_avg_value"))
 
 
 @query("run_status", """SELECT trigger, max(finished_at) FILTER (WHERE status = 'ok') AS last_ok, date_diff('day', CAST(max(finished_at) FILTER (WHERE status = 'ok') AS DATE), DATE '2026-01-01') AS days_ago,

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RINGS = "array<array<array<array<double>>>>"
@@ -86,6 +86,24 @@ def html_cells(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, table int, row int, cell int, text string").withColumnRenamed("key", key)
 
 
+def rate_card(df: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, product, term, rate): the rates of every table of each page whose header names a product, a term and a rate.
+
+    The header's words say which column is which, in any order. A row without a product belongs to the product above it in its table, if there is one;
+    rows whose rate cannot be read are left out.
+    """
+    cells = html_cells(df, key, html)
+    low = F.lower("text")
+    role = F.when(low.contains("product"), "product").when(low.contains("term"), "term").when(low.contains("rate"), "rate")
+    heads = cells.where("row = 0").select(key, "table", "cell", role.alias("role")).where("role is not null")
+    body = cells.where("row > 0").join(heads, [key, "table", "cell"])
+    of = lambda r: F.max(F.when(F.col("role") == r, F.nullif("text", F.lit(""))))
+    rows = body.groupBy(key, "table", "row").agg(of("product").alias("named"), of("term").alias("term"), of("rate").alias("raw"))
+    above = F.last("named", True).over(Window.partitionBy(key, "table").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rate = F.regexp_extract("raw", r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    return rows.select(key, above.alias("product"), "term", rate.alias("rate")).where("product is not null and rate is not null")
+
+
 def payload(page: Column, name: str) -> Column:
     """The JSON object that follows "name": in a page's pushed script strings, as text; null if there is none."""
     @F.pandas_udf("string")
