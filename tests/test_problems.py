@@ -323,3 +323,62 @@ def test_merkle_looks_only_where_digests_differ(spark):
     pairs = spark.createDataFrame([(1, 2)], "old int, new int")
     assert snapshot_diff.differing_buckets(snapshot_diff.leaf_digests(r, depth), pairs, depth).count() == 1
     assert rows(snapshot_diff.snapshot_diff(two, ["k"], "rel", ["v"])) == [(77, 2, "changed")]
+
+
+def test_history_store_touches_one_epoch(spark, tmp_path):
+    """Snapshots applied one by one give the history of all at once; each writes its epoch only, a date reads one part."""
+    rng, keys = random.Random(21), [("a", str(i)) for i in range(6)] + [("b", "0")]
+    days = [date(2030, 1 + m, 1 + 9 * d) for m in range(5) for d in range(3)] + [date(2031, 2, 1)]
+    rows = [(b, p, d, rng.choice([1.0, 2.0, 2.0, 0.0]), rng.choice([5.0, 6.0])) for d in days for b, p in keys if rng.random() < 0.8 and not (b == "b" and d.day == 1)]
+    df = spark.createDataFrame(rows, "bank string, product string, d date, rate double, fee double").withColumn("at", F.lit("x"))
+    store = history.HistoryStore(spark, str(tmp_path / "h"), ["bank", "product"], "d", ["rate", "fee"])
+    for day in days:
+        before = store.store.parts() if store.store.version() >= 0 else []
+        assert store.apply(df.where(F.col("d") == day)) and not store.apply(df.where(F.col("d") == day))
+        fresh = [p["kind"] for p in store.store.parts() if p not in before]
+        assert len(fresh) == 1 or day == days[-1] and len(fresh) == 3
+    flat = lambda x: sorted(tuple(str(v) for v in r) for r in x.collect())
+    want = flat(history.rebuild_history(df, ["bank", "product"], "d", ["rate", "fee"]))
+    assert flat(store.history()) == want and len(want) > 20
+    whole = history.HistoryStore(spark, str(tmp_path / "w"), ["bank", "product"], "d", ["rate", "fee"])
+    whole.build(df)
+    assert flat(whole.history()) == want
+    for day in ("2029-01-01", "2030-03-10", "2030-12-01", "2031-06-01"):
+        valid = sorted((r[0], r[1]) for r in history.rebuild_history(df, ["bank", "product"], "d", ["rate", "fee"]).where(f"valid_from <= date'{day}' and (valid_to is null or valid_to > date'{day}')").select("bank", "product").collect())
+        for s in (store, whole):
+            got = s.as_of(day)
+            assert sorted((r["bank"], r["product"]) for r in got.collect()) == valid
+            assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) == 1
+    empty = history.HistoryStore(spark, str(tmp_path / "e"), ["bank", "product"], "d", ["rate", "fee"])
+    empty.build(df.limit(0))
+    assert empty.store.version() == -1 and not empty.apply(df.limit(0))
+
+
+def test_digest_store_hashes_a_release_once(spark, tmp_path):
+    rng = random.Random(22)
+    rows = [(i, r, rng.choice([None, 0, 5, 6]), rng.choice([1, 2])) for r in (1, 2, 3) for i in range(300) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "k int, rel int, v int, cap int").withColumn("bucket", F.lit("x"))
+    want = {(r["k"], r["release"], r["change"]) for r in snapshot_diff.snapshot_diff(df, ["k"], "rel", ["v"], "cap").collect()}
+    store = snapshot_diff.DigestStore(spark, str(tmp_path / "d"), ["k"], "rel", ["v"], "cap", depth=2)
+    for r in (1, 2, 3):
+        before = store.store.parts() if store.store.version() >= 0 else []
+        assert store.add(df.where(F.col("rel") == r)) == str(r)
+        assert sorted(p["kind"] for p in store.store.parts() if p not in before) == [f"leaves {r}", f"rows {r}"]
+    assert store.releases() == ["1", "2", "3"] and store.add(df.limit(0)) is None
+    got = {(r["k"], r["release"], r["change"]) for a, b in (("1", "2"), ("2", "3")) for r in store.diff(a, b).collect()}
+    assert got == want and len(want) > 100 and store.diff("2", "2").count() == 0
+
+
+def test_two_writers_take_two_versions(spark, tmp_path):
+    from tidemark.sources.versions import VersionStore
+
+    a, b = VersionStore(spark, str(tmp_path / "t")), VersionStore(spark, str(tmp_path / "t"))
+    a.write(spark.range(3))
+    old = b.version
+    b.version = iter([0, *[1] * 9]).__next__  # has not seen the other's version yet
+    a.append(spark.range(1))
+    assert b.append(spark.range(2)) == 2
+    b.version = old
+    assert b.read().count() == 6 and a.read(1).count() == 4 and len(a.parts()) == 3
+    a.fs.create(a._path("_VERSIONS/3.json"), False).close()  # a version whose file is not written yet
+    assert a.version() == 2

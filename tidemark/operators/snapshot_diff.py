@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpointed
+from tidemark.sources.versions import VersionStore
 
 FANOUT_BITS = 4
 
@@ -25,7 +26,7 @@ def _zero_as_null(df: DataFrame, name: str) -> Column:
 def depth_for(rows: int, rows_per_bucket: int = 64) -> int:
     """Levels below the root so that a leaf bucket of one release holds about rows_per_bucket rows."""
     depth = 1
-    while depth < 7 and (1 << FANOUT_BITS * depth) * rows_per_bucket < rows:
+    while FANOUT_BITS * depth < 60 and (1 << FANOUT_BITS * depth) * rows_per_bucket < rows:
         depth += 1
     return depth
 
@@ -101,7 +102,6 @@ def snapshot_diff(df: DataFrame, keys: list[str], release: str, values: list[str
     numeric values; an empty table or a single release gives no rows. Extra columns are never read.
     """
     rows = checkpointed(current_rows(df, keys, release, values, captured, zero_is_null))
-    ks = [f"k{i}" for i in range(len(keys))]
     releases = rows.groupBy("rel").agg(F.count("*").alias("n"))
     # one row for each release: the only window without partitions, over as many rows as there are releases
     w = Window.orderBy("rel")
@@ -111,6 +111,12 @@ def snapshot_diff(df: DataFrame, keys: list[str], release: str, values: list[str
     leaves = checkpointed(leaf_digests(rows, depth))
     buckets = checkpointed(differing_buckets(leaves, checkpointed(pairs), depth))
     rows = rows.withColumn("bucket", F.shiftrightunsigned("kh", 64 - FANOUT_BITS * depth))
+    return changed_rows(buckets, rows, keys)
+
+
+def changed_rows(buckets: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, release, change) from the rows of the buckets that differ."""
+    ks = [f"k{i}" for i in range(len(keys))]
     side = lambda name, i: buckets.join(rows.withColumnRenamed("rel", name), [name, "bucket"]).select("new", *ks, F.lit(i).alias("side"), "d1", "d2")
     digest = lambda i: F.max(F.when(F.col("side") == i, F.struct("d1", "d2")))
     return (
@@ -125,3 +131,39 @@ def snapshot_diff(df: DataFrame, keys: list[str], release: str, values: list[str
             F.when(F.col("o").isNull(), "added").when(F.col("w").isNull(), "removed").otherwise("changed").alias("change"),
         )
     )
+
+
+class DigestStore:
+    """The leaf digests and row digests of each release, kept on storage: only a new release is ever hashed.
+
+    All releases have the same number of leaf buckets, 16 ** depth. The row digests of a release lie in files of their own, sorted by bucket, so that those of differing buckets are
+    read by range.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], release: str, values: list[str], captured: str | None = None, zero_is_null: bool = True, depth: int = 4):
+        self.store, self.keys, self.release, self.values, self.captured, self.zero_is_null, self.depth = VersionStore(spark, path), keys, release, values, captured, zero_is_null, depth
+
+    def releases(self) -> list[str]:
+        return sorted(p["kind"].removeprefix("leaves ") for p in self.store.parts() if p["kind"].startswith("leaves "))
+
+    def add(self, rows: DataFrame) -> str | None:
+        """Hash one release and keep it (in place of an earlier delivery of the same); its name, None for no rows."""
+        own = current_rows(rows, self.keys, self.release, self.values, self.captured, self.zero_is_null).withColumn("bucket", F.shiftrightunsigned("kh", 64 - FANOUT_BITS * self.depth))
+        own = checkpointed(own)
+        names = [str(r[0]) for r in own.select("rel").distinct().limit(2).collect()]
+        if len(names) > 1:
+            raise ValueError("add one release at a time")
+        if not names:
+            return None
+        mine = (f"leaves {names[0]}", f"rows {names[0]}")
+        leaves = leaf_digests(own.drop("bucket"), self.depth)
+        self.store.put([(mine[0], leaves), (mine[1], own.repartitionByRange("bucket").sortWithinPartitions("bucket"))], lambda part: part["kind"] not in mine)
+        return names[0]
+
+    def diff(self, old: str, new: str) -> DataFrame:
+        """(keys, release, change) between two releases that are kept: digests first, then rows of the buckets that differ."""
+        leaves = self.store.read(kind=f"leaves {old}").unionByName(self.store.read(kind=f"leaves {new}"))
+        names = leaves.groupBy().agg(F.min("rel").alias("a"), F.max("rel").alias("b"))
+        pairs = names.select(*[F.when(F.col("a").cast("string") == x, F.col("a")).otherwise(F.col("b")).alias(k) for k, x in (("old", old), ("new", new))])
+        buckets = checkpointed(differing_buckets(leaves, pairs, self.depth))
+        return changed_rows(buckets, self.store.read(kind=f"rows {old}").unionByName(self.store.read(kind=f"rows {new}")), self.keys)
