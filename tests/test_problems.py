@@ -382,3 +382,66 @@ def test_two_writers_take_two_versions(spark, tmp_path):
     assert b.read().count() == 6 and a.read(1).count() == 4 and len(a.parts()) == 3
     a.fs.create(a._path("_VERSIONS/3.json"), False).close()  # a version whose file is not written yet
     assert a.version() == 2
+
+
+def test_crowded_cell_is_dealt_to_blocks(spark):
+    """More sites than the cap within one cell of the finest grid: blocks find the pairs and regions that one group would."""
+    rng = random.Random(31)
+    pts = [(i, 170.0 + rng.random() * 4e-4, -40.0 + rng.random() * 4e-4) for i in range(260)] + [(900, 171.0, -41.0)]
+    df = spark.createDataFrame(pts, "id long, x double, y double")
+    want = {(a[0], b[0]) for a, b in itertools.combinations(pts, 2) if float(nearby.metres(a[1], a[2], b[1], b[2])) <= 15}
+    rows = [(r["left_id"], r["right_id"]) for r in nearby.near_pairs(df, "id", "x", "y", 15.0, cap=40).collect()]
+    assert set(rows) == want and len(rows) == len(want) and nearby.partition(df.select(F.col("x").alias("lon"), F.col("y").alias("lat")), 40).blocks.max() > 2
+    square = [[(170.0, -40.0), (170.0002, -40.0), (170.0002, -39.9997), (170.0, -39.9997), (170.0, -40.0)]]
+    region = spark.createDataFrame([(5, [[{"x": x, "y": y} for x, y in r] for r in square])], "rid int, rings array<array<struct<x:double,y:double>>>")
+    got = [r["id"] for r in nearby.regions_of(df, "id", "x", "y", region, "rid", "rings", cap=40).collect()]
+    assert sorted(got) == sorted(i for i, x, y in pts if 170.0 <= x <= 170.0002 and -40.0 <= y <= -39.9997)
+
+
+def test_sites_and_links_hold_all_pairs(spark):
+    rng = random.Random(32)
+    spots = [(170.0 + rng.random() * 2e-3, -40.0 + rng.random() * 2e-3) for _ in range(30)]
+    df = spark.createDataFrame([(i, *rng.choice(spots)) for i in range(200)] + [(500, None, -40.0)], "id long, x double, y double")
+    members, links = nearby.near_site_counts(df, "id", "x", "y", 40.0)
+    at = {}
+    for r in members.collect():
+        at.setdefault(r["site"], []).append(r["id"])
+    pairs = {tuple(sorted(p)) for own in at.values() for p in itertools.combinations(own, 2)}
+    for r in links.collect():
+        assert (r["points_a"], r["points_b"]) == (len(at[r["site_a"]]), len(at[r["site_b"]]))
+        pairs |= {tuple(sorted(p)) for p in itertools.product(at[r["site_a"]], at[r["site_b"]])}
+    assert pairs == {(r["left_id"], r["right_id"]) for r in nearby.near_pairs(df, "id", "x", "y", 40.0).collect()}
+
+
+def test_ring_that_crosses_itself(spark):
+    """Points on the fan's diagonals are judged by the ring's parity."""
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (1.0, -1.0), (0.0, 0.0)]
+    region = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in ring]])], "rid int, rings array<array<struct<x:double,y:double>>>")
+    pts = [(0, 3.0, 3.0), (1, 2.0, 2.0), (2, 0.25, 3.5), (3, 5.0, 1.0), (4, 0.1, 2.0), (5, 2.0, 1.0)]
+
+    def odd(x, y):
+        n = 0
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            n += (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return n % 2 == 1
+
+    got = {r["id"] for r in nearby.regions_of(spark.createDataFrame(pts, "id long, x double, y double"), "id", "x", "y", region, "rid", "rings").collect()}
+    assert 0 in got and got == {i for i, x, y in pts if odd(x, y)}
+
+
+def test_long_ring_is_clipped_quickly():
+    import time
+
+    ring = [((2 + math.sin(9 * a)) * math.cos(a), (2 + math.sin(9 * a)) * math.sin(a)) for a in np.linspace(0, 2 * math.pi, 4_000, endpoint=False)]
+    began = time.process_time()
+    tri = ear_clip(ring)
+    took = time.process_time() - began
+    area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
+    assert len(tri) == len(ring) - 2 and sum(abs((t[2] - t[0]) * (t[5] - t[1]) - (t[4] - t[0]) * (t[3] - t[1])) / 2 for t in tri) == pytest.approx(area) and took < 5
+
+
+def test_orphans_without_parents_are_spread(spark):
+    refs = spark.range(5_000).select((F.col("id") % 1_700).alias("k"), F.lit("2030-01").alias("p"))
+    none = spark.createDataFrame([], "k long")
+    df = orphans.orphans(refs, none, F.col("k"), None, F.col("p"), F.col("k"), per_range=50)
+    assert df.count() == 1_700 and {r["kind"] for r in df.collect()} == {"missing"}

@@ -99,6 +99,21 @@ def in_triangles(tri: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.nd
     return inside & ~flat, inside & (s == 0).any(axis=0) & ~flat
 
 
+def crossed(tri: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """Whether a ray to the right crosses an odd number of a triangle's sides, each without its upper end.
+
+    A side that two triangles share counts for both or neither, so over a fan all but the ring's own sides cancel out.
+    """
+    ax, ay, bx, by, cx, cy = tri.T
+    odd = np.zeros(len(tri), dtype=bool)
+    for x1, y1, x2, y2 in ((ax, ay, bx, by), (bx, by, cx, cy), (cx, cy, ax, ay)):
+        up = y2 > y1
+        # from the lower end to the upper one, whatever way the side is given
+        turn = sides(np.where(up, x1, x2), np.where(up, y1, y2), np.where(up, x2, x1), np.where(up, y2, y1), px, py)
+        odd ^= ((y1 > py) != (y2 > py)) & (turn > 0)
+    return odd
+
+
 def ear_clip(ring: list[tuple[float, float]]) -> list[tuple[float, ...]] | None:
     """Triangles of a simple closed or open ring; None if it can't be clipped (it crosses itself)."""
     pts = [p for i, p in enumerate(ring) if i == 0 or p != ring[i - 1]]
@@ -109,26 +124,37 @@ def ear_clip(ring: list[tuple[float, float]]) -> list[tuple[float, ...]] | None:
     area = sum(Fraction(a[0]) * Fraction(b[1]) - Fraction(b[0]) * Fraction(a[1]) for a, b in zip(pts, pts[1:] + pts[:1]))
     if area < 0:
         pts.reverse()
-    out, last, misses, i = [], pts, 0, 0
-    last = list(pts)
-    while len(last) > 3:
-        n = len(last)
+    xy, n = np.array(pts, dtype=float), len(pts)
+    ring, out, misses, i = list(range(n)), [], 0, 0
+    # only corners that turn the wrong way can lie in an ear
+    bent = np.array([_side(*pts[k - 1], *pts[k], *pts[(k + 1) % n]) <= 0 for k in range(n)])
+    while len(ring) > 3:
+        n = len(ring)
         if misses > n:
             return None
-        a, b, c = last[i % n - 1], last[i % n], last[(i + 1) % n]
+        at = i % n
+        ka, kb, kc = ring[at - 1], ring[at], ring[(at + 1) % n]
+        a, b, c = pts[ka], pts[kb], pts[kc]
         turn = _side(*a, *b, *c)
         ear = turn >= 0
         if turn > 0:
-            arr = np.array([p for p in last if p not in (a, b, c)], dtype=float).reshape(-1, 2)
-            t = np.array([[*a, *b, *c]] * len(arr), dtype=float).reshape(-1, 6)
-            ear = not len(arr) or not in_triangles(t, arr[:, 0], arr[:, 1])[0].any()
+            other = xy[bent]
+            (x0, x1), (y0, y1) = ((min(a[j], b[j], c[j]), max(a[j], b[j], c[j])) for j in (0, 1))
+            other = other[(other[:, 0] >= x0) & (other[:, 0] <= x1) & (other[:, 1] >= y0) & (other[:, 1] <= y1)]
+            other = other[[(x, y) not in (a, b, c) for x, y in other.tolist()]] if len(other) else other
+            ear = not len(other) or not in_triangles(np.array([[*a, *b, *c]] * len(other), dtype=float), other[:, 0], other[:, 1])[0].any()
         if ear:
             if turn > 0:
                 out.append((*a, *b, *c))
-            last.pop(i % n)
+            ring.pop(at)
+            bent[kb] = False
+            n = len(ring)
+            for k in (at - 1, at):
+                bent[ring[k % n]] = _side(*pts[ring[(k - 1) % n]], *pts[ring[k % n]], *pts[ring[(k + 1) % n]]) <= 0
             misses = 0
         else:
-            i, misses = i % n + 1, misses + 1
+            i, misses = at + 1, misses + 1
+    last = [pts[k] for k in ring]
     if _side(*last[0], *last[1], *last[2]) > 0:
         out.append((*last[0], *last[1], *last[2]))
     total = sum(abs((Fraction(t[2]) - Fraction(t[0])) * (Fraction(t[5]) - Fraction(t[1])) - (Fraction(t[4]) - Fraction(t[0])) * (Fraction(t[3]) - Fraction(t[1]))) for t in out)

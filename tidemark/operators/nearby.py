@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.bvh import Bvh, ear_clip, fan, in_triangles
+from tidemark.operators.bvh import Bvh, crossed, ear_clip, fan, in_triangles
 from tidemark.session import checkpointed
 
 EARTH_M = 6_371_008.8
@@ -30,12 +30,16 @@ def _cell(x: np.ndarray, lo: float, width: float) -> np.ndarray:
 
 @dataclass
 class Partition:
-    """The upper hierarchy: leaves as (level, ix, iy) with the bounds of their points."""
+    """The upper hierarchy: leaves as (level, ix, iy) with the bounds of their points and the number of blocks that their points are dealt to.
+
+    A leaf has several blocks only where a cell of the finest level holds more than the cap.
+    """
 
     level: np.ndarray
     ix: np.ndarray
     iy: np.ndarray
     bounds: np.ndarray
+    blocks: np.ndarray
 
     def __post_init__(self):
         self.bvh = Bvh(self.bounds)
@@ -59,6 +63,12 @@ class Partition:
         return out
 
 
+def _block(lon: np.ndarray, lat: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """A block for each place, by its bits."""
+    mixed = (lon.view(np.int64) * np.int64(-7046029254386353131) ^ lat.view(np.int64)) * np.int64(-4417276706812531889)
+    return (mixed >> 20 & 0x7FFFFFFF) % blocks
+
+
 COARSE = 12  # levels that are counted for all points; finer ones only where a coarse cell holds too many
 
 
@@ -104,7 +114,7 @@ def partition(sites: DataFrame, cap: int = 6_000) -> Partition:
         below = nodes_of(checkpointed(fine), BASE, COARSE)
         leaves.append(below[(below["level"] > COARSE) & ((below["n"] <= cap) | (below["level"] == BASE))])
     got = pd.concat(leaves)
-    return Partition(*(got[c].to_numpy(dtype=np.int64) for c in ("level", "ix", "iy")), got[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float))
+    return Partition(*(got[c].to_numpy(dtype=np.int64) for c in ("level", "ix", "iy")), got[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float), np.maximum(1, -(-got["n"].to_numpy(dtype=np.int64) // cap)))
 
 
 def _spread(lon: np.ndarray, lat: np.ndarray, metres: float) -> np.ndarray:
@@ -132,19 +142,33 @@ def near_sites(sites: DataFrame, within_m: float, cap: int = 6_000) -> DataFrame
     tree = sites.sparkSession.sparkContext.broadcast(partition(sites, cap))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each site to its leaf, to be found and to ask, and to the other leaves that its disc touches, to ask; in a leaf of several blocks each pair of blocks meets once."""
         t = tree.value
         for pdf in batches:
             lon, lat = pdf["lon"].to_numpy(), pdf["lat"].to_numpy()
             home = t.home(lon, lat)
             q, leaf = t.bvh.query(_spread(lon, lat, within_m))
             away = leaf != home[q]
-            rows = np.concatenate([np.arange(len(lon)), q[away]])
-            yield pd.DataFrame({"leaf": np.concatenate([home, leaf[away]]), "home": np.arange(len(rows)) < len(lon), "lon": lon[rows], "lat": lat[rows], "id": pdf["id"].array.take(rows)})
+            row, to = np.concatenate([np.arange(len(lon)), q[away]]), np.concatenate([home, leaf[away]])
+            at_home = np.arange(len(row)) < len(lon)
+            n = t.blocks[to]
+            own = _block(lon[row], lat[row], n)
+            one, many = np.flatnonzero(n == 1), np.flatnonzero(n > 1)
+            found = many[at_home[many]]
+            # to be found: in one row of the square of blocks; to ask: in one column
+            f, a = np.repeat(found, n[found]), np.repeat(many, n[many])
+            step = lambda x: np.arange(n[x].sum()) - np.repeat(np.cumsum(n[x]) - n[x], n[x])  # noqa: E731, B023
+            part = np.concatenate([np.zeros(len(one), dtype=np.int64), own[f] * n[f] + step(found), step(many) * n[a] + own[a]])
+            pick = np.concatenate([one, f, a])
+            is_found = np.concatenate([at_home[one], np.ones(len(f), dtype=bool), np.zeros(len(a), dtype=bool)])
+            asks = np.concatenate([np.ones(len(one), dtype=bool), np.zeros(len(f), dtype=bool), np.ones(len(a), dtype=bool)])
+            r = row[pick]
+            yield pd.DataFrame({"leaf": to[pick], "part": part, "home": is_found, "asks": asks, "lon": lon[r], "lat": lat[r], "id": pdf["id"].array.take(r)})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["home"]]
+        own, pdf = pdf[pdf["home"]], pdf[pdf["asks"]]
         hx, hy = own["lon"].to_numpy(), own["lat"].to_numpy()
-        bvh, out, hid, ids = Bvh(np.stack([hx, hy, hx, hy], axis=1)), [], own["id"].array, pdf["id"].array
+        bvh, out, hid, ids = Bvh(np.stack([hx, hy, hx, hy], axis=1)), [pd.DataFrame({"lon_a": [], "lat_a": [], "id_a": [], "lon_b": [], "lat_b": [], "id_b": [], "metres": []})], own["id"].array, pdf["id"].array
         x, y = pdf["lon"].to_numpy(), pdf["lat"].to_numpy()
         for a in range(0, len(x), 20_000):
             qx, qy, qid = x[a : a + 20_000], y[a : a + 20_000], ids[a : a + 20_000]
@@ -154,10 +178,10 @@ def near_sites(sites: DataFrame, within_m: float, cap: int = 6_000) -> DataFrame
             d = metres(hx[i], hy[i], qx[q], qy[q])
             ok = d <= within_m
             out.append(pd.DataFrame({"lon_a": hx[i[ok]], "lat_a": hy[i[ok]], "id_a": hid.take(i[ok]), "lon_b": qx[q[ok]], "lat_b": qy[q[ok]], "id_b": qid.take(q[ok]), "metres": d[ok]}))
-        return pd.concat(out)
+        return pd.concat(out[1:] or out)
 
-    copies = sites.select("lon", "lat", "id").mapInPandas(spread, "leaf long, home boolean, lon double, lat double, id long")
-    return copies.groupBy("leaf").applyInPandas(join, "lon_a double, lat_a double, id_a long, lon_b double, lat_b double, id_b long, metres double")
+    copies = sites.select("lon", "lat", "id").mapInPandas(spread, "leaf long, part long, home boolean, asks boolean, lon double, lat double, id long")
+    return copies.groupBy("leaf", "part").applyInPandas(join, "lon_a double, lat_a double, id_a long, lon_b double, lat_b double, id_b long, metres double")
 
 
 def _located(points: DataFrame, point_id: str, lon: str, lat: str) -> DataFrame:
@@ -165,6 +189,23 @@ def _located(points: DataFrame, point_id: str, lon: str, lat: str) -> DataFrame:
     return rows.where("id is not null and lon between -180 and 180 and lat between -90 and 90").withColumns({"lon": F.col("lon") + 0.0, "lat": F.col("lat") + 0.0})
 
 
+def near_site_counts(points: DataFrame, point_id: str, lon: str, lat: str, within_m: float, cap: int = 6_000) -> tuple[DataFrame, DataFrame]:
+    """The form for sites that hold very many points: (sites, links), no pairs of points.
+
+    sites: (site, id), a row for each point, its site being the smallest id there. links: (site_a, site_b, points_a, points_b, metres), a row for each pair of
+    different sites within the distance. Points at one site are within it of each other; all pairs follow from both tables. Rows that
+    near_pairs leaves out are left out here.
+    """
+    pts = checkpointed(_located(points, point_id, lon, lat).distinct())
+    at = pts.groupBy("lon", "lat").agg(F.min("id").cast("long").alias("id"), F.count("*").alias("n"))
+    at = checkpointed(at)
+    members = pts.join(at.select("lon", "lat", F.col("id").alias("site")), ["lon", "lat"]).select("site", "id")
+    far = near_sites(at.select("lon", "lat", "id"), within_m, cap)
+    size = lambda x: at.select(F.col("lon").alias(f"lon_{x}"), F.col("lat").alias(f"lat_{x}"), F.col("n").alias(f"points_{x}"))
+    links = far.join(size("a"), ["lon_a", "lat_a"]).join(size("b"), ["lon_b", "lat_b"])
+    return members, links.select(F.col("id_a").alias("site_a"), F.col("id_b").alias("site_b"), "points_a", "points_b", "metres")
+
+
 def near_pairs(points: DataFrame, point_id: str, lon: str, lat: str, within_m: float, cap: int = 6_000) -> DataFrame:
     """(left_id, right_id, metres): every pair of points at most within_m apart, the smaller id first.
 
@@ -224,13 +265,18 @@ def regions_of(points: DataFrame, point_id: str, lon: str, lat: str, regions: Da
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(leaf=tree.value.home(pdf["lon"].to_numpy(), pdf["lat"].to_numpy()))
+            x, y = pdf["lon"].to_numpy(), pdf["lat"].to_numpy()
+            leaf = tree.value.home(x, y)
+            yield pdf.assign(leaf=leaf, part=_block(x, y, tree.value.blocks[leaf]))
 
     def hand_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x, y = pdf[["ax", "bx", "cx"]].to_numpy(), pdf[["ay", "by", "cy"]].to_numpy()
             q, leaf = tree.value.bvh.query(np.stack([x.min(axis=1), y.min(axis=1), x.max(axis=1), y.max(axis=1)], axis=1) if len(pdf) else np.empty((0, 4)))
-            yield pdf.iloc[q].assign(leaf=leaf)
+            n = tree.value.blocks[leaf]
+            # a leaf's triangles go to all its blocks
+            part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pdf.iloc[np.repeat(q, n)].assign(leaf=np.repeat(leaf, n), part=part)
 
     def test(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(t):
@@ -240,8 +286,11 @@ def regions_of(points: DataFrame, point_id: str, lon: str, lat: str, regions: Da
         bvh = Bvh(np.stack([tri[:, 0::2].min(axis=1), tri[:, 1::2].min(axis=1), tri[:, 0::2].max(axis=1), tri[:, 1::2].max(axis=1)], axis=1))
         q, i = bvh.query(np.stack([x, y, x, y], axis=1))
         inside, border = in_triangles(tri[i], x[q], y[q])
+        simple = t["simple"].to_numpy(dtype=bool)[i]
+        # a ring that crosses itself is cut into a fan: parity, without its border
+        inside[~simple], border[~simple] = crossed(tri[i][~simple], x[q][~simple], y[q][~simple]), False
         corner = ((tri[i][:, 0::2] == x[q][:, None]) & (tri[i][:, 1::2] == y[q][:, None])).any(axis=1)
-        hit = pd.DataFrame({"p": q, "region": t["region"].to_numpy()[i], "ring": t["ring"].to_numpy()[i], "simple": t["simple"].to_numpy()[i], "border": border, "corner": corner})[inside]
+        hit = pd.DataFrame({"p": q, "region": t["region"].to_numpy()[i], "ring": t["ring"].to_numpy()[i], "simple": simple, "border": border, "corner": corner})[inside]
         per = hit.groupby(["p", "region", "ring"], as_index=False).agg(n=("border", "size"), simple=("simple", "first"), border=("border", "all"), corner=("corner", "any"))
         # a side of a triangle that another one shares is inside the ring, unless at a corner
         per["border"] &= (per["n"] == 1) | per["corner"]
@@ -252,7 +301,7 @@ def regions_of(points: DataFrame, point_id: str, lon: str, lat: str, regions: Da
         per = per[~shared | (per["region"] == per.groupby("p")["region"].transform("min"))]
         return pd.DataFrame({"lon": x[per["p"]], "lat": y[per["p"]], "region": per["region"]})
 
-    homes = sites.mapInPandas(place, "lon double, lat double, leaf long")
-    parts = triangles(regions, region_id, rings).mapInPandas(hand_out, TRI + ", leaf long")
-    found = homes.groupBy("leaf").cogroup(parts.groupBy("leaf")).applyInPandas(test, "lon double, lat double, region long")
+    homes = sites.mapInPandas(place, "lon double, lat double, leaf long, part long")
+    parts = triangles(regions, region_id, rings).mapInPandas(hand_out, TRI + ", leaf long, part long")
+    found = homes.groupBy("leaf", "part").cogroup(parts.groupBy("leaf", "part")).applyInPandas(test, "lon double, lat double, region long")
     return pts.join(found, ["lon", "lat"]).select("id", "region")

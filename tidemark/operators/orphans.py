@@ -144,7 +144,8 @@ def orphans(refs: DataFrame, parents: DataFrame, key: Column, load: Column | Non
     first (last) date counts as always (still) there; of several parent rows for a key the earliest first and the latest
     last date count; a null period stays null. Empty references give no rows, empty parents make every key missing.
     References are made distinct before they are shuffled, so a key that holds a third of all rows travels
-    once for each date. Ranges hold about per_range parent keys, whatever their number.
+    once for each date. Ranges hold about per_range keys of both sides, whatever their
+    number, so missing keys are spread even where there are no parents.
     """
     day = lambda c: (F.unix_date(c.cast("date")) if c is not None else F.lit(None)).cast("int")
     null = F.lit(None).cast("int")
@@ -159,7 +160,8 @@ def orphans(refs: DataFrame, parents: DataFrame, key: Column, load: Column | Non
     both = p.select("key", F.lit(True).alias("parent"), "first", "last", null.alias("load"), F.lit(None).cast("string").alias("period")).unionByName(
         r.select("key", F.lit(False).alias("parent"), null.alias("first"), null.alias("last"), "load", "period")
     )
-    ranges = parts_for(refs.sparkSession, parents.count(), per_range)
+    keys = (p.agg(F.count("*").alias("n")).first()["n"] or 0) + (refs.agg(F.approx_count_distinct(key).alias("n")).first()["n"] or 0)
+    ranges = parts_for(refs.sparkSession, keys, per_range)
     coded = both.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
     coded = coded.withColumn("code", F.dense_rank().over(Window.partitionBy("range").orderBy("key")) - 1)
     kind = dict(both.dtypes)["key"]

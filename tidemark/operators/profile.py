@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpointed, parts_for
+from tidemark.session import checkpointed
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 SORT = ["col", "series", "num", "txt", "load"]
@@ -187,7 +187,7 @@ def _profile_part(before: dict, totals: dict):
     return run
 
 
-def profile(counts: DataFrame, values_a_part: int = 400_000) -> DataFrame:
+def profile(counts: DataFrame, values_a_part: int = 100_000) -> DataFrame:
     """The profile of unpivot()'s counts: a row for each column, series and load.
 
     Columns: col, series, load, rows, nulls, null_share, n_distinct, min/p25/median/p75/max (numbers, quantiles
@@ -195,10 +195,10 @@ def profile(counts: DataFrame, values_a_part: int = 400_000) -> DataFrame:
     Kolmogorov-Smirnov distance to the load before (null for the first). A null series or load counts as ''. All-null
     columns have null statistics; an empty table gives no rows.
     """
-    spark = counts.sparkSession
     counts = counts.withColumns({"load": F.coalesce("load", F.lit("")), "series": F.coalesce("series", F.lit(""))})
     counts = checkpointed(counts)
-    parts = parts_for(spark, counts.count(), values_a_part)
+    # by rows alone: small tables need few tasks
+    parts = max(1, -(-counts.count() // values_a_part))
     # all loads' rows of a value go to one partition: the curves are compared at whole values
     ranged = counts.repartitionByRange(parts, *SORT[:-1]).sortWithinPartitions(*SORT).withColumn("pid", F.spark_partition_id())
     ranged = checkpointed(ranged.withColumn("n", F.col("n").cast("long")))
