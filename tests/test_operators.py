@@ -260,9 +260,11 @@ def test_traits(spark):
 def test_claims(spark):
     df = spark.createDataFrame([("$703,000, $1.2m and $450k or $5",), (None,)], "t string")
     assert [r[0] for r in df.select(text.money(F.col("t"))).collect()] == [[703_000.0, 1_200_000.0, 450_000.0, 5.0], None]
+    more = spark.createDataFrame([("$1.78M or $450K, 98.5万元, 2百万, 4.2 % and 7 per cent, 1,200 km, 5 kmh",)], "t string")
+    assert more.select(*[text.figures(F.col("t"), k) for k in text.FIGURES]).first()[:] == ([1_780_000.0, 450_000.0], [985_000.0, 2_000_000.0], [4.2, 7.0], [1_200.0])
     claims = spark.createDataFrame([(1, 100.0), (1, 100.0), (1, 150.0), (2, 1.0)], "k int, claim double")
     facts = spark.createDataFrame([(1, 100.4), (1, 900.0)], "k int, fact double")
-    assert sorted(r["supported"] for r in text.supported(claims, facts, "k", 0.5, 0.001).collect()) == [False, False, True, True]
+    assert sorted(r["supported"] for r in text.supported(claims, facts, "k", 0.5, 0.001, 0.5).collect()) == [False, False, True, True]
 
 
 def test_longest_run():
@@ -328,3 +330,15 @@ def test_rounds_are_data(spark, tmp_path):
     assert round_dates(Tables(spark, str(tmp_path))) == [date(2046, 5, 2), date(2043, 5, 2)]
     spark.createDataFrame([], "ru_id int, valuation_date date, cv long").write.parquet(f"{tmp_path}/empty/valuation.parquet")
     assert round_dates(Tables(spark, f"{tmp_path}/empty")) == [None, None]
+
+
+def test_sql_is_read_only(spark, small, tmp_path):
+    from tidemark.sources import views
+
+    views.register(spark, small, ["suburb"])
+    assert views.ask(spark, "WITH x AS (SELECT suburb_id FROM suburb) SELECT count(*) FROM x").first()[0] > 0
+    for bad in ("DROP VIEW suburb", "CREATE TABLE zz AS SELECT 1", "INSERT INTO suburb SELECT * FROM suburb", "SET spark.sql.ansi.enabled=false", f"INSERT OVERWRITE DIRECTORY '{tmp_path}' USING parquet SELECT 1", "CACHE TABLE suburb", "DELETE FROM suburb"):
+        with pytest.raises(PermissionError):
+            views.ask(spark, bad)
+    got = {r["table_name"]: r for r in views.prechecks(spark, small, ["suburb", "nothing"]).collect()}
+    assert got["suburb"]["present"] and not got["nothing"]["present"] and got["nothing"]["files"] == 0

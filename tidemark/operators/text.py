@@ -84,16 +84,36 @@ def coverage(with_traits: DataFrame) -> DataFrame:
     return with_traits.select(F.explode(names).alias("trait")).groupBy("trait").agg(F.count("*").alias("texts"))
 
 
+NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+#: What numbers in prose stand for: the pattern (number, unit) and what a unit multiplies by.
+FIGURES = {
+    "money": (rf"\$({NUMBER})([mkMK]?)", {"m": 1e6, "k": 1e3}),
+    "money_zh": (rf"({NUMBER})\s*(百万|万)元?", {"百万": 1e6, "万": 1e4}),
+    "percent": (rf"({NUMBER})\s*(%|per cent)", {}),
+    "km": (rf"({NUMBER})\s*(km)\b", {}),
+}
+
+
+def figures(text: Column, kind: str) -> Column:
+    """The numbers of one kind in a text as doubles, units multiplied out: $703,000, $1.2M, 98.5万, 4.2 %, 12 km."""
+    pattern, units = FIGURES[kind]
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("u"))
+    times = lambda u: F.coalesce(*[F.when(F.lower(u) == k, v) for k, v in units.items()], F.lit(1.0))
+    return F.transform(parts, lambda x: F.regexp_replace(x["n"], ",", "").try_cast("double") * times(x["u"]))
+
+
 def money(text: Column) -> Column:
-    """The dollar amounts of a text as doubles: $703,000, $1.2m, $450k."""
-    found = F.regexp_extract_all(text, F.lit(r"(\$[0-9][0-9,]*(?:\.[0-9]+)?[mk]?)"), F.lit(1))
-    number = lambda x: F.regexp_replace(x, r"[$,mk]", "").try_cast("double")
-    return F.transform(found, lambda x: number(x) * F.when(x.endswith("m"), 1e6).when(x.endswith("k"), 1e3).otherwise(1.0))
+    """The dollar amounts of a text: $703,000, $1.2m, $450K."""
+    return figures(text, "money")
+
 
+def supported(claims: DataFrame, facts: DataFrame, by: str, least: float, share: float, small: float = 0.15) -> DataFrame:
+    """claims (by, claim) with supported: whether a fact (by, fact) of the same key lies close.
 
-def supported(claims: DataFrame, facts: DataFrame, by: str, least: float, share: float) -> DataFrame:
-    """claims (by, claim) with supported: whether a fact (by, fact) of the same key lies within max(least, share of the fact)."""
-    close = F.abs(F.col("claim") - F.col("fact")) <= F.greatest(F.lit(least), F.abs("fact") * share)
+    Close is max(least, share of the fact), with the claim's sign, for facts of 1,000 and more; `small` for others.
+    """
+    near = F.when(F.abs("fact") >= 1_000, F.greatest(F.lit(least), F.abs("fact") * share)).otherwise(F.lit(small))
+    close = F.abs(F.col("claim") - F.col("fact")) <= near
     c = claims.withColumn("_id", F.monotonically_increasing_id())
     return c.join(facts.select(by, "fact"), by, "left").groupBy("_id", *claims.columns).agg(F.coalesce(F.bool_or(close), F.lit(False)).alias("supported")).drop("_id")
 

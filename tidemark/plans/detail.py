@@ -347,16 +347,30 @@ def english_traits(t: Tables) -> DataFrame:
     return text.traits(docs, "doc_id", "text", "place")
 
 
-_MONEY = r"\$[0-9][0-9,]*(?:\.[0-9]+)?[mk]?"
+_MONEY = r"\$[0-9][0-9,]*(?:\.[0-9]+)?[mkMK]?"
 
 
 @query("money_claims", f"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '({_MONEY})', 1)) AS w FROM documents)
-  SELECT doc_id, round(CAST(regexp_replace(w, '[$,mk]', '', 'g') AS DOUBLE) * CASE WHEN w LIKE '%m' THEN 1e6 WHEN w LIKE '%k' THEN 1e3 ELSE 1 END, 2) AS claim FROM c""")
+  SELECT doc_id, round(CAST(regexp_replace(w, '[$,mkMK]', '', 'g') AS DOUBLE) * CASE WHEN w ILIKE '%m' THEN 1e6 WHEN w ILIKE '%k' THEN 1e3 ELSE 1 END, 2) AS claim FROM c""")
 def money_claims(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(text.money(F.col("text"))).alias("claim")).withColumn("claim", F.round("claim", 2))
 
 
-@query("claims_supported", f"""WITH c AS (SELECT doc_id, suburb_id, CAST(regexp_replace(w, '[$,mk]', '', 'g') AS DOUBLE) * CASE WHEN w LIKE '%m' THEN 1e6 WHEN w LIKE '%k' THEN 1e3 ELSE 1 END AS claim
+_FIGURES_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS kind, CAST(replace(n, ',', '') AS DOUBLE) * CASE lower(u) " + "".join(f"WHEN '{w}' THEN {v!r} " for w, v in units.items()) + f"WHEN '' THEN 1.0 ELSE 1.0 END AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}', 1)) AS n, unnest(regexp_extract_all(text, '{p}', 2)) AS u FROM documents)"
+    for k, (p, units) in text.FIGURES.items()
+)
+
+
+@query("figures_in_texts", f"SELECT doc_id, kind, round(value, 4) AS value FROM ({_FIGURES_SQL})")
+def figures_in_texts(t: Tables) -> DataFrame:
+    """Amounts of money, shares and distances that texts state."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), text.figures(F.col("text"), k).alias("v")) for k in text.FIGURES])
+    rows = t.documents.select("doc_id", F.explode(kinds).alias("f"))
+    return rows.select("doc_id", "f.kind", F.explode("f.v").alias("value")).withColumn("value", F.round("value", 4))
+
+
+@query("claims_supported", f"""WITH c AS (SELECT doc_id, suburb_id, CAST(regexp_replace(w, '[$,mkMK]', '', 'g') AS DOUBLE) * CASE WHEN w ILIKE '%m' THEN 1e6 WHEN w ILIKE '%k' THEN 1e3 ELSE 1 END AS claim
   FROM (SELECT doc_id, suburb_id, unnest(regexp_extract_all(text, '({_MONEY})', 1)) AS w FROM documents WHERE suburb_id IS NOT NULL)),
   f AS (SELECT DISTINCT suburb_id, CAST(avg_house_value AS DOUBLE) AS fact FROM market_snapshot WHERE avg_house_value > 0 AND suburb_id IS NOT NULL)
   SELECT suburb_id, count(*) AS claims, count(*) FILTER (EXISTS (SELECT 1 FROM f WHERE f.suburb_id = c.suburb_id AND abs(claim - fact) <= greatest(500, 0.002 * fact))) AS supported FROM c GROUP BY suburb_id""")

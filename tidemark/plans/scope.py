@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import source_form
+from tidemark.functions.scalars import haversine_km, source_form
 from tidemark.operators import lineage
 from tidemark.operators.search import in_scope
 from tidemark.plans import views
 from tidemark.plans.registry import Registry, Tables
+from tidemark.sources import views as sources
 
 query = Registry()
 
@@ -133,4 +134,61 @@ def cheapest_runs(t: Tables) -> DataFrame:
     return rows.withColumn("place", F.rank().over(Window.partitionBy("term").orderBy("rate")).cast("long"))
 
 
+TABLES = ["suburb", "rating_unit", "valuation", "market_snapshot", "bank_rate", "data_quality", "pipeline_run", "documents", "rate_snapshot", "suburb_page", "local_board", "mix_target"]
+_NAMES = ", ".join(f"'{x}'" for x in TABLES)
+
+
+@query("sql_over_views", f"{views._OVERVIEW} SELECT s.type, count(*) AS suburbs, count(o.avg_house_value) AS priced, max(o.cv_median) AS dearest FROM ov o JOIN suburb s USING (suburb_id) GROUP BY s.type")
+def sql_over_views(t: Tables) -> DataFrame:
+    """A question in SQL over a table and a semantic view, read-only."""
+    sources.register(t.spark, t.folder, ["suburb"], {"suburb_overview": views.QUERIES["suburb_overview"]})
+    return sources.ask(t.spark, "SELECT s.type, count(*) AS suburbs, count(o.avg_house_value) AS priced, max(o.cv_median) AS dearest FROM suburb_overview o JOIN suburb s USING (suburb_id) GROUP BY s.type")
+
+
+@query("schema_listing", f"SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ({_NAMES})")
+def schema_listing(t: Tables) -> DataFrame:
+    return sources.columns(t.spark, t.folder, TABLES).select("table_name", "column_name")
+
+
+@query("tables_present", f"SELECT unnest([{_NAMES}]) AS table_name, TRUE AS present")
+def tables_present(t: Tables) -> DataFrame:
+    """Whether every table's files are there before anything is read from them."""
+    return sources.prechecks(t.spark, t.folder, TABLES).select("table_name", "present")
+
+
+@query("latest_releases", "SELECT source_as_at, count(*) AS rows FROM market_snapshot WHERE source_as_at IN (SELECT DISTINCT source_as_at FROM market_snapshot WHERE source_as_at IS NOT NULL ORDER BY source_as_at DESC LIMIT 2) GROUP BY source_as_at")
+def latest_releases(t: Tables) -> DataFrame:
+    """The two latest releases (as many as the report shows) with their rows."""
+    per = t.market_snapshot.where("source_as_at is not null").groupBy("source_as_at").agg(F.count("*").alias("rows"))
+    return per.orderBy(F.col("source_as_at").desc()).limit(2)
+
+
+PICKS = 5
+
+
+@query("spread_pick", f"""{views._OVERVIEW}, c AS (SELECT suburb_id, avg_house_value AS v, row_number() OVER (ORDER BY est_gross_yield_pct DESC, suburb_id) AS r, count(*) OVER () AS n FROM ov WHERE avg_house_value IS NOT NULL AND est_gross_yield_pct IS NOT NULL),
+  k AS (SELECT suburb_id, v, row_number() OVER (ORDER BY v, suburb_id) - 1 AS i, count(*) OVER () AS m FROM c WHERE r <= ceil(0.6 * n)) SELECT suburb_id, v AS price FROM k WHERE i IN (SELECT CAST(round_even(x * (m - 1) / {PICKS - 1}.0, 0) AS BIGINT) FROM (SELECT unnest(range({PICKS})) AS x))""")
+def spread_pick(t: Tables) -> DataFrame:
+    """Five suburbs (the size of the pick) spread evenly over the prices of the better 60 per cent by yield. The windows run over one row a suburb."""
+    rows = views.overview(t).where("avg_house_value is not null and est_gross_yield_pct is not null").select("suburb_id", F.col("avg_house_value").alias("v"), "est_gross_yield_pct")
+    n = F.count("*").over(Window.partitionBy(F.lit(1)))
+    best = rows.select("suburb_id", "v", F.row_number().over(Window.orderBy(F.col("est_gross_yield_pct").desc(), "suburb_id")).alias("r"), n.alias("n")).where(F.col("r") <= F.ceil(0.6 * F.col("n")))
+    line = best.select("suburb_id", "v", (F.row_number().over(Window.orderBy("v", "suburb_id")) - 1).alias("i"), n.alias("m"))
+    spots = F.array(*[F.bround(F.lit(x) * (F.col("m") - 1) / float(PICKS - 1), 0).cast("long") for x in range(PICKS)])
+    return line.where(F.array_contains(spots, F.col("i").cast("long"))).select("suburb_id", F.col("v").alias("price"))
+
+
+@query("accepted_pages", """WITH p AS (SELECT page_id, lower(trim(regexp_replace(strip_accents(regexp_replace(heading, ',.*$', '')), '^House prices in ', ''))) AS k, lon, lat FROM suburb_page),
+  s AS (SELECT suburb_id, lower(trim(strip_accents(name))) AS k, centroid.x AS x, centroid.y AS y FROM suburb WHERE name IS NOT NULL)
+  SELECT page_id, suburb_id FROM p JOIN s USING (k) WHERE lon IS NULL OR lat IS NULL OR x IS NULL OR y IS NULL OR 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(y - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(x - lon) / 2), 2)))) <= 20""")
+def accepted_pages(t: Tables) -> DataFrame:
+    """Pages whose heading is a suburb's name, kept unless both have a place and these are more than 20 km apart."""
+    bare = lambda c: F.regexp_replace(F.translate(c, "āēīōūàáâäèéêëìíîïòóôöùúûüçñĀĒĪŌŪ", "aeiouaaaaeeeeiiiioooouuuucnAEIOU"), r"\p{M}", "")
+    plain = lambda c: F.lower(F.trim(bare(c)))
+    heading = F.regexp_replace(bare(F.regexp_replace("heading", ",.*$", "")), "^House prices in ", "")
+    p = t.suburb_page.select("page_id", plain(heading).alias("k"), "lon", "lat")
+    s = t.suburb.where("name is not null").select("suburb_id", plain(F.col("name")).alias("k"), F.col("centroid.x").alias("x"), F.col("centroid.y").alias("y"))
+    return p.join(s, "k").where(F.coalesce(haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) <= 20, F.lit(True))).select("page_id", "suburb_id")
+
+
 QUERIES, SQL = query.queries, query.sql
