@@ -146,7 +146,7 @@ def test_sentence_trim_and_evidence(spark):
 
 def test_name_key(spark):
     df = spark.createDataFrame([("Mount Rōskill",), ("Saint Mary's Bay",), (None,)], "n string")
-    assert [r[0] for r in df.select(scalars.name_key("n")).collect()] == ["mtroskill", "stmarysbay", None]
+    assert [r[0] for r in df.select(scalars.name_key(F.col("n"))).collect()] == ["mtroskill", "stmarysbay", None]
 
 
 def test_query_interface(spark):

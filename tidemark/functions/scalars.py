@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,7 +39,8 @@ def serial_date(n: Column, earliest: str, latest: str) -> Column:
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # least() passes over nulls
+    return F.when(a.isNotNull(), 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a))))
 
 
 def mercator_y(lat: Column) -> Column:
@@ -80,16 +78,18 @@ def python_round(places: int):
     return run
 
 
-@F.pandas_udf(T.StringType())
-def name_key(s: pd.Series) -> pd.Series:
-    """A place name reduced for matching: no accents, lower case, saint and mount shortened, letters and digits only."""
-    def one(v):
-        if v is None or pd.isna(v):
-            return None
-        low = "".join(c for c in unicodedata.normalize("NFKD", str(v)) if not unicodedata.combining(c)).lower()
-        return re.sub(r"[^a-z0-9]", "", re.sub(r"\bmount\b", "mt", re.sub(r"\bsaint\b", "st", low)))
+# Letters with marks that names are written with, and without
+MARKED, BARE = "āēīōūàáâäèéêëìíîïòóôöùúûüçñ", "aeiouaaaaeeeeiiiioooouuuucn"
+#: Words of place names that are written short.
+SHORT_FORMS = {"saint": "st", "mount": "mt"}
+
 
-    return s.map(one)
+def name_key(c: Column) -> Column:
+    """A place name reduced for matching: lower case, no accents, saint and mount shortened, letters and digits only."""
+    out = F.regexp_replace(F.translate(F.lower(c), MARKED, BARE), r"\p{M}", "")
+    for word, short in SHORT_FORMS.items():
+        out = F.regexp_replace(out, rf"\b{word}\b", short)
+    return F.regexp_replace(out, "[^a-z0-9]", "")
 
 
 def has_han(c: Column) -> Column:

@@ -315,7 +315,7 @@ def rounded_rents(t: Tables) -> DataFrame:
 
 @query("name_keys", "SELECT suburb_id, regexp_replace(regexp_replace(lower(strip_accents(name)), '\\bmount\\b', 'mt', 'g'), '[^a-z0-9]', '', 'g') AS k FROM suburb")
 def name_keys(t: Tables) -> DataFrame:
-    return t.suburb.select("suburb_id", name_key("name").alias("k"))
+    return t.suburb.select("suburb_id", name_key(F.col("name")).alias("k"))
 
 
 @query("text_scripts", "SELECT coalesce(regexp_matches(text, '[一-鿿]'), FALSE) AS han, count(*) AS texts FROM documents GROUP BY 1")
