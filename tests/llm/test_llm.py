@@ -9,7 +9,7 @@ import pytest
 from compare import difference
 from pyspark.sql import functions as F
 
-from tidemark.llm import gru, language, linkage, mixing, percentiles, plans, tokens
+from tidemark.llm import gru, language, linkage, matching, mixing, percentiles, plans, tokens
 
 
 @pytest.mark.parametrize("name", [n for n in sorted(plans.QUERIES) if not n.startswith("p10") and n != "p9_bound"])
@@ -242,6 +242,107 @@ def test_url_variants_are_one_address(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in plans.p5_market(spark, str(tmp_path)).collect()] == [(6, date(2025, 1, 1), 5, 0.95)]
 
 
+def test_passes_have_their_own_keys(spark):
+    """A key counts wherever it is in the array, and only against keys of the same pass."""
+    left = spark.createDataFrame([(1, "x", "y"), (2, None, "z")], "id long, a string, b string")
+    right = spark.createDataFrame([(10, "y", "z"), (11, "w", "x")], "id long, a string, b string")
+    passes = [(F.array("a", "b"), F.array("a")), (F.array("a"), F.array("b"))]
+    assert {tuple(r) for r in linkage.block(left, right, passes).collect()} == {(1, 10), (1, 11)}
+
+
+def test_names_of_blocks_like_single_names(spark):
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(list("abc "), rng.integers(1, 14))) for _ in range(150)] + ["ab" * 40, "ab" * 39 + "ba", "ab" * 38, "b" + "a" * 63, "b" + "a" * 64]
+    texts = matching.Texts(made)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(-1, len(made)), np.arange(-1, len(made))))
+    rows = [(made[a] if a >= 0 else None, made[b] if b >= 0 else None) for a, b in zip(i.tolist(), j.tolist())]
+    want = spark.createDataFrame(rows, "a string, b string").select(F.coalesce(linkage.name_level(F.col("a"), F.col("b")), F.lit(-1)).alias("x"), F.coalesce(F.levenshtein("a", "b"), F.lit(-1)).alias("d")).toPandas()
+    assert matching.name_levels(texts, i, texts, j).tolist() == want["x"].tolist()
+    known = (i >= 0) & (j >= 0)
+    assert matching.distances(texts, i[known], texts, j[known]).tolist() == want["d"][known].tolist()
+
+
+RECORD = "id long, name string, slug string, district string, population int, sold_population int, lon double, lat double"
+
+
+def _places(rng, n: int, page: bool) -> list[tuple]:
+    pick = lambda *xs: xs[rng.integers(len(xs))]
+    rows = []
+    for i in range(n):
+        name = lambda: pick(None, *[a + b for a in ("north ", "", "upper ") for b in ("kibbawold", "kibbewold", "kibbwaold", "tarnarth", "tarnart", "mount pike", "ralmapike bay")])
+        rows.append((i + 1, name(), name() if page else None, pick(None, "plain", "plains coast", "outer reach"), pick(None, 100, 104, 200), pick(None, 100, 104) if page else None, pick(None, 170.01, 170.02, 170.049, 171.0), pick(None, -40.01, -40.05)))
+    return rows
+
+
+def test_patterns_count_all_candidates(spark, monkeypatch):
+    """In one block or many, with records that are alike: the patterns of all pairs, one by one."""
+    rng = np.random.default_rng(8)
+    places = _places(rng, 60, True), _places(rng, 80, False)
+    pages, suburbs = (spark.createDataFrame(rows, RECORD) for rows in places)
+    got = []
+    for left, right in ((32_000, 250_000), (7, 11)):
+        monkeypatch.setattr(matching, "LEFT", left)
+        monkeypatch.setattr(matching, "RIGHT", right)
+        found: dict = {}
+        for r in plans.page_patterns(pages, suburbs).collect():
+            for c, n, least in zip(r["codes"], r["counts"], r["rs"]):
+                key = (r["l"], r["w"], tuple(matching.levels_of(np.array([c]), list(matching.LEVELS.values()))[0].tolist()))
+                old = found.get(key, (0, least))
+                found[key] = (old[0] + n, min(old[1], least))
+        got.append(found)
+    assert got[0] == got[1]
+
+    null = lambda *xs: any(x is None for x in xs)
+    frames = [df.select("id", plans._ordered(F.col("name")).alias("o"), plans._ordered(F.col("slug")).alias("os"), plans._kind(F.col("name")).alias("k"), plans._kind(F.col("slug")).alias("ks"), plans._alike(df).alias("alike"), "district", "population", "sold_population", "lon", "lat") for df in (pages, suburbs)]
+    core = [df.select("id", plans._keys(lambda w: F.substring(w, 1, 4)).alias("a"), plans._keys(lambda w: F.substring(w, -4, 4)).alias("b"), plans._keys(lambda w: F.substring(F.regexp_replace(w, "[aeiou]|(.)(?=\\1)", ""), 1, 4)).alias("c"), plans._keys(lambda w: F.substring(F.array_join(F.array_sort(F.array_distinct(F.split(w, ""))), ""), 1, 12)).alias("d")).collect() for df in (pages, suburbs)]
+    names = [{r["id"]: {(c, k) for c in "abcd" for k in r[c] if k} for r in rows} for rows in core]
+    joined = lambda p, d: ":".join(str(x) for x in (p, d and d[:2]) if x is not None)
+    level = spark.createDataFrame([(a, b) for a in {x for r in frames[0].collect() for x in (r["o"], r["os"])} for b in {r["o"] for r in frames[1].collect()}], "a string, b string")
+    level = {(r["a"], r["b"]): r["v"] for r in level.select("a", "b", F.coalesce(linkage.name_level(F.col("a"), F.col("b")), F.lit(-1)).alias("v")).collect()}
+    edit = {(r["a"], r["b"]): r["v"] for r in pages.select(F.col("district").alias("a")).distinct().crossJoin(suburbs.select(F.col("district").alias("b")).distinct()).select("a", "b", F.levenshtein("a", "b").alias("v")).collect()}
+
+    def steps(x, *limits):
+        return sum(x < t for t in limits)
+
+    want: dict = {}
+    weight: dict = {}
+    for p in frames[0].collect():
+        weight[p["alike"]] = weight.get(p["alike"], 0) + 1
+    for p in {r["alike"]: r for r in frames[0].collect()}.values():
+        at = None if null(p["lon"], p["lat"]) else (np.floor(p["lon"] * 20 + 0.5), np.floor(p["lat"] * 20 + 0.5))
+        pops = {joined(p["sold_population"], p["district"])} if p["sold_population"] else set()
+        pops |= {joined(p["population"], p["district"])} if p["os"] is None else set()
+        for s in frames[1].collect():
+            corners = set() if null(s["lon"], s["lat"]) else {(np.floor(s["lon"] * 20 + i), np.floor(s["lat"] * 20 + j)) for i in (0, 1) for j in (0, 1)}
+            if not (names[0][p["id"]] & names[1][s["id"]] or at in corners or joined(s["population"], s["district"]) in pops):
+                continue
+            kind = 2 if s["k"] is not None and s["k"] in (p["k"], p["ks"]) else 1 if "" in (p["k"], p["ks"]) else -1 if p["o"] is None and p["os"] is None else 0
+            d = edit[p["district"], s["district"]]
+            district = -1 if d is None else 3 if d == 0 else 2 if d <= 2 or s["district"].startswith(p["district"]) else steps(d, 5)
+            ratio = lambda x: -1 if null(x, s["population"]) else abs(np.log(x / s["population"]))  # noqa: B023, E731
+            sold = -1 if null(p["sold_population"], s["population"]) else steps(ratio(p["sold_population"]), 0.1, 1e-9)
+            population = -1 if sold >= 0 or null(p["population"], s["population"]) else steps(ratio(p["population"]), 0.15, 0.03)
+            km = None if null(p["lon"], p["lat"], s["lon"], s["lat"]) else np.hypot((p["lon"] - s["lon"]) * np.cos(np.radians(s["lat"])) * 111.19, (p["lat"] - s["lat"]) * 111.19)
+            key = (p["alike"], weight[p["alike"]], (max(level[p["o"], s["o"]], level[p["os"], s["o"]]), kind, district, sold, population, -1 if km is None else steps(km, 12, 4, 1.2)))
+            n, least = want.get(key, (0, s["id"]))
+            want[key] = (n + 1, min(least, s["id"]))
+    assert got[0] == want and len(want) > 500
+
+
+def test_links_of_crowded_names(spark, tmp_path):
+    """Six million pairs that share every key of the name: each page finds its own suburb, from a few patterns a page."""
+    page = "page_id long, source_url string, heading string, district string, population int, lon double, lat double"
+    suburb = "suburb_id int, name string, name_ascii string, major_name string, population_linz int, centroid struct<x double, y double>"
+    n = 2_450
+    at = lambda i: (167.0 + (i % 50) * 0.2, -46.0 + (i // 50) * 0.2)
+    spark.createDataFrame([(i, f"https://a.example/s/{i}", "Kibbawold", "Plain", 500 + i, *at(i)) for i in range(n)], page).write.parquet(f"{tmp_path}/suburb_page.parquet")
+    spark.createDataFrame([(i, "Kibbawold", None, "Plain", 500 + i, at(i)) for i in range(n)], suburb).write.parquet(f"{tmp_path}/suburb.parquet")
+    spark.createDataFrame([], "suburb_id int, source_url string, population int").write.parquet(f"{tmp_path}/market_snapshot.parquet")
+    found = plans.page_patterns(plans.page_records(spark, str(tmp_path)), plans.suburb_records(spark, str(tmp_path))).select(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("pairs"), F.size("codes").alias("patterns")).toPandas()
+    assert found["pairs"].sum() == n * n and found["patterns"].max() < 20
+    assert {r["page_id"]: r["suburb_id"] for r in plans.p5_links(spark, str(tmp_path)).collect()} == {i: i for i in range(n)}
+
+
 # --- language ---------------------------------------------------------------
 
 

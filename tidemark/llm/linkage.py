@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.matching import levels_of
 from tidemark.session import checkpointed, parts_for
 
 
@@ -26,7 +27,9 @@ def block(left: DataFrame, right: DataFrame, passes: list[tuple[Column, Column]]
     """
     def keyed(df: DataFrame, side: int) -> DataFrame:
         """All passes by one explode of (pass, key)."""
-        each = [F.transform(F.coalesce(p[side].cast("array<string>"), F.array().cast("array<string>")), lambda k, n=n: F.struct(F.lit(n).alias("n"), k.alias("k"))) for n, p in enumerate(passes)]
+        # a second parameter of the function, even one with a default, would be the key's place in the array
+        named = lambda n: lambda k: F.struct(F.lit(n).alias("n"), k.alias("k"))
+        each = [F.transform(F.coalesce(p[side].cast("array<string>"), F.array().cast("array<string>")), named(n)) for n, p in enumerate(passes)]
         rows = df.select("id", F.explode(F.array_distinct(F.concat(*each))).alias("k")).where("k.k is not null")
         return rows.select("id", F.xxhash64("k.n", "k.k").alias("k"))
 
@@ -107,19 +110,34 @@ def link(pairs: DataFrame, levels: dict[str, int], least: float = 0.5) -> DataFr
     an l's candidates and of having no match sum to one, so equally good candidates share their probability. Ties go to the
     smaller r. Without pairs there are no rows.
     """
-    spark, names = pairs.sparkSession, list(levels)
-    pairs = checkpointed(pairs.select("l", "r", *[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in names]))
-    got = pairs.groupBy(*names).agg(F.count("*").alias("n")).toPandas()
+    code: Column = F.lit(0)
+    for c, n in levels.items():
+        code = code * (n + 1) + F.coalesce(F.col(c).cast("int"), F.lit(-1)) + 1
+    rows = checkpointed(pairs.select("l", F.lit(1).alias("w"), code.alias("code"), F.lit(1).alias("n"), "r"))
+    return _best(rows, rows.select("l", "w"), levels, least)
+
+
+def link_patterns(found: DataFrame, levels: dict[str, int], least: float = 0.5) -> DataFrame:
+    """The same from matching.patterns: for each l the codes of its patterns, how many candidates have each and the smallest r of them."""
+    found = checkpointed(found)
+    each = F.explode(F.arrays_zip(F.col("codes").alias("code"), F.col("counts").alias("n"), F.col("rs").alias("r"))).alias("p")
+    return _best(found.select("l", "w", each).select("l", "w", "p.*"), found.select("l", "w"), levels, least)
+
+
+def _best(rows: DataFrame, lefts: DataFrame, levels: dict[str, int], least: float) -> DataFrame:
+    """rows: l, w records it stands for, code of a pattern, n candidates that have it, r the smallest of them."""
+    got = rows.groupBy("code").agg(F.sum(F.col("n") * F.col("w")).alias("n")).toPandas()
     if not len(got):
-        return pairs.select("l", "r", F.lit(0.0).alias("confidence"))
-    left = pairs.select(F.count_distinct("l")).first()[0]
-    patterns, counts = got[names].to_numpy(dtype=int), got["n"].to_numpy(dtype=float)
+        return rows.select("l", "r", F.lit(0.0).alias("confidence"))
+    left = lefts.distinct().agg(F.sum("w")).first()[0]
+    codes, counts = got["code"].to_numpy(dtype=int), got["n"].to_numpy(dtype=float)
+    patterns = levels_of(codes, list(levels.values()))
     model = fit(patterns, counts, list(levels.values()), min(0.5, 0.5 * left / counts.sum()))
     got["odds"] = model.odds(patterns)
-    table = F.broadcast(spark.createDataFrame(got[[*names, "odds"]]).withColumns({c: F.col(c).cast("int") for c in names}))
-    rows = pairs.join(table, names).withColumn("e", F.exp(F.least("odds", F.lit(500.0))))
-    best = rows.groupBy("l").agg(F.max(F.struct("e", (-F.col("r")).alias("r"))).alias("b"), F.sum("e").alias("all"))
+    table = F.broadcast(rows.sparkSession.createDataFrame(got[["code", "odds"]]).withColumn("code", F.col("code").cast("int")))
+    each = rows.join(table, "code").withColumn("e", F.exp(F.least("odds", F.lit(500.0))))
+    best = each.groupBy("l").agg(F.max(F.struct("e", (-F.col("r")).alias("r"))).alias("b"), F.sum(F.col("e") * F.col("n")).alias("all"))
     return best.select("l", (-F.col("b.r")).alias("r"), (F.col("b.e") / (1 + F.col("all"))).alias("confidence")).where(F.col("confidence") >= least)
 
 
-__all__ = ["Model", "block", "fit", "link", "name_level"]
+__all__ = ["Model", "block", "fit", "link", "link_patterns", "name_level"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import label_form, source_form
-from tidemark.llm import language, linkage, mixing, percentiles, tokens
+from tidemark.llm import language, linkage, matching, mixing, percentiles, tokens
 from tidemark.session import checkpointed
 from tidemark.sources.tables import table
 
@@ -72,48 +72,53 @@ def _keys(cut) -> Column:
     return F.array(*[F.when(F.length(_core(F.col(c))) > 3, cut(_core(F.col(c)))) for c in ("name", "slug")])
 
 
-def page_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs of pages and suburbs with their agreement levels."""
-    pages, suburbs = checkpointed(page_records(spark, d)), checkpointed(suburb_records(spark, d))
-    same = lambda c: (c, c)
+def _kind(c: Column) -> Column:
+    """The usual parts of a name."""
+    return F.array_join(F.array_sort(F.filter(F.split(c, " "), lambda w: w.isin(NAME_WORDS))), " ")
+
+
+def _hashed(*keys: Column) -> Column:
+    """The keys of all passes as numbers; null keys are none. Each is an array of a pass's keys."""
+    # a second parameter of the function, even one with a default, would be the key's place in the array
+    number = lambda n: lambda k: F.when(k.isNotNull(), F.xxhash64(F.lit(n), k))
+    each = [F.transform(p, number(n)) for n, p in enumerate(keys)]
+    return F.array_distinct(F.filter(F.concat(*each), lambda k: k.isNotNull()))
+
+
+def _alike(df: DataFrame) -> Column:
+    """The same number for records alike in all but their id."""
+    rest = [c for c in df.columns if c != "id"]
+    return F.xxhash64(*rest, *[F.col(c).isNull() for c in rest])
+
+
+def page_patterns(pages: DataFrame, suburbs: DataFrame) -> DataFrame:
+    """The agreement patterns of pages (l: _alike) with their candidates, suburbs that share a key of a name, a place or a population.
+
+    Records alike in all attributes have the same candidates at the same levels: they are compared once and counted as often as they occur.
+    """
     skeleton = lambda w: F.substring(F.regexp_replace(w, "[aeiou]|(.)(?=\\1)", ""), 1, 4)
-    place = F.array(*[F.concat_ws(",", F.floor(F.col("lon") * 20 + i).cast("long"), F.floor(F.col("lat") * 20 + j).cast("long")) for i in (0, 1) for j in (0, 1)])
-    place = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), place).otherwise(F.array())
-    at = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.array(F.concat_ws(",", F.floor(F.col("lon") * 20 + 0.5).cast("long"), F.floor(F.col("lat") * 20 + 0.5).cast("long")))).otherwise(F.array())
+    cuts = [lambda w: F.substring(w, 1, 4), lambda w: F.substring(w, -4, 4), skeleton, lambda w: F.substring(F.array_join(F.array_sort(F.array_distinct(F.split(w, ""))), ""), 1, 12)]
     pops = F.array(F.when(F.col("sold_population").isNotNull(), F.concat_ws(":", "sold_population", F.substring("district", 1, 2))), F.when(F.col("slug").isNull(), F.concat_ws(":", "population", F.substring("district", 1, 2))))
-    passes = [
-        same(_keys(lambda w: F.substring(w, 1, 4))),
-        same(_keys(lambda w: F.substring(w, -4, 4))),
-        same(_keys(skeleton)),
-        same(_keys(lambda w: F.substring(F.array_join(F.array_sort(F.array_distinct(F.split(w, ""))), ""), 1, 12))),
-        (at, place),
-        same(pops),
-    ]
-    # comparing a pair costs five edit distances: pairs are spread by their number, which AQE, going by bytes, would not do
-    ids = linkage.block(pages, suburbs, passes, pairs_a_part=20_000)
-    p, s = (df.select(*[F.col(c).alias(f"{x}_{c}") for c in df.columns]) for x, df in (("p", pages), ("s", suburbs)))
-    pairs = ids.join(p, ids["l"] == F.col("p_id")).join(s, ids["r"] == F.col("s_id"))
-    level = lambda c: linkage.name_level(_ordered(F.col(c)), _ordered(F.col("s_name")))
-    ratio = lambda a, b: F.abs(F.ln(F.col(a) / F.col(b)))
-    kind = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.col(c), " "), lambda w: w.isin(NAME_WORDS))), " ")
-    dx = (F.col("p_lon") - F.col("s_lon")) * F.cos(F.radians("s_lat")) * 111.19
-    km = F.hypot(dx, (F.col("p_lat") - F.col("s_lat")) * 111.19)
-    dd = F.levenshtein("p_district", "s_district")
-    return pairs.select(
-        "l", "r",
-        F.greatest(level("p_name"), level("p_slug")).alias("name"),
-        F.when(kind("p_name") == kind("s_name"), 2).when(kind("p_slug") == kind("s_name"), 2).when((kind("p_name") == "") | (kind("p_slug") == ""), 1).when(F.coalesce("p_name", "p_slug").isNotNull(), 0).alias("kind"),
-        F.when(dd == 0, 3).when(F.col("s_district").startswith(F.col("p_district")) | (dd <= 2), 2).when(dd <= 4, 1).when(dd.isNotNull(), 0).alias("district"),
-        F.when(ratio("p_sold_population", "s_population") < 1e-9, 2).when(ratio("p_sold_population", "s_population") < 0.1, 1).when(ratio("p_sold_population", "s_population").isNotNull(), 0).alias("sold"),
-        F.when(F.col("p_sold_population").isNull() | F.col("s_population").isNull(), F.when(ratio("p_population", "s_population") < 0.03, 2).when(ratio("p_population", "s_population") < 0.15, 1).when(ratio("p_population", "s_population").isNotNull(), 0)).alias("population"),
-        F.when(km < 1.2, 3).when(km < 4, 2).when(km < 12, 1).when(km.isNotNull(), 0).alias("place"),
-    )
+
+    def once(df: DataFrame, key: Column, name: str, count: str) -> DataFrame:
+        rest = [c for c in df.columns if c != "id"]
+        rows = df.groupBy(*rest).agg(key.alias(name), F.count("*").alias(count))
+        return checkpointed(rows.withColumns({
+            "ordered": _ordered(F.col("name")), "slug_ordered": _ordered(F.col("slug")), "kind": _kind(F.col("name")), "slug_kind": _kind(F.col("slug")),
+            "name_keys": _hashed(*[_keys(cut) for cut in cuts]), "keys": _hashed(pops),
+        }))
+
+    left = once(pages.withColumn("alike", _alike(pages)), F.first("alike"), "l", "w").drop("alike", "name", "slug")
+    right = once(suburbs, F.min("id").cast("long"), "r", "n").drop("slug", "slug_ordered", "slug_kind", "sold_population")
+    return matching.patterns(left, right)
 
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
     """The suburb that each page describes best, with a confidence, however low; pages without any candidate have no row."""
-    links = linkage.link(page_pairs(spark, d), {"name": 5, "kind": 3, "district": 4, "sold": 3, "population": 3, "place": 4}, least=0.0)
-    return links.select(F.col("l").alias("page_id"), F.col("r").cast("int").alias("suburb_id"), "confidence")
+    pages = checkpointed(page_records(spark, d))
+    links = linkage.link_patterns(page_patterns(pages, suburb_records(spark, d)), matching.LEVELS, least=0.0)
+    rows = pages.select(F.col("id").alias("page_id"), _alike(pages).alias("l")).join(links, "l")
+    return rows.groupBy("page_id").agg(F.max(F.struct("confidence", (-F.col("r")).alias("r"))).alias("b")).select("page_id", (-F.col("b.r")).cast("int").alias("suburb_id"), "b.confidence")
 
 
 SURE = 0.8
