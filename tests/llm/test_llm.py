@@ -294,7 +294,7 @@ def test_patterns_count_all_candidates(spark, monkeypatch):
 
     null = lambda *xs: any(x is None for x in xs)
     frames = [df.select("id", plans._ordered(F.col("name")).alias("o"), plans._ordered(F.col("slug")).alias("os"), plans._kind(F.col("name")).alias("k"), plans._kind(F.col("slug")).alias("ks"), plans._alike(df).alias("alike"), "district", "population", "sold_population", "lon", "lat") for df in (pages, suburbs)]
-    core = [df.select("id", plans._keys(lambda w: F.substring(w, 1, 4)).alias("a"), plans._keys(lambda w: F.substring(w, -4, 4)).alias("b"), plans._keys(lambda w: F.substring(F.regexp_replace(w, "[aeiou]|(.)(?=\\1)", ""), 1, 4)).alias("c"), plans._keys(lambda w: F.substring(F.array_join(F.array_sort(F.array_distinct(F.split(w, ""))), ""), 1, 12)).alias("d")).collect() for df in (pages, suburbs)]
+    core = [df.withColumns({"core": plans._core(F.col("name")), "slug_core": plans._core(F.col("slug"))}).select("id", plans._keys(lambda w: F.substring(w, 1, 4)).alias("a"), plans._keys(lambda w: F.substring(w, -4, 4)).alias("b"), plans._keys(lambda w: F.substring(F.regexp_replace(w, "[aeiou]|(.)(?=\\1)", ""), 1, 4)).alias("c"), plans._keys(lambda w: F.substring(F.array_join(F.array_sort(F.array_distinct(F.split(w, ""))), ""), 1, 12)).alias("d")).collect() for df in (pages, suburbs)]
     names = [{r["id"]: {(c, k) for c in "abcd" for k in r[c] if k} for r in rows} for rows in core]
     joined = lambda p, d: ":".join(str(x) for x in (p, d and d[:2]) if x is not None)
     level = spark.createDataFrame([(a, b) for a in {x for r in frames[0].collect() for x in (r["o"], r["os"])} for b in {r["o"] for r in frames[1].collect()}], "a string, b string")

@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Records of the left and of the right in one task; pairs, and counters of patterns, held at a time.
-LEFT, RIGHT, AT_ONCE = 32_000, 250_000, 1_000_000
+from tidemark.session import shuffle_partitions
+
+#: Records of the left and of the right in one task at most, of the left so that a task is worth its start; pairs, and counters of patterns, held at a time.
+LEFT, RIGHT, SOME, AT_ONCE = 32_000, 250_000, 4_000, 1_000_000
 
 #: The attributes in the order of their levels in a pattern's code, with their numbers of levels.
 LEVELS = {"name": 5, "kind": 3, "district": 4, "sold": 3, "population": 3, "place": 4}
@@ -218,11 +220,14 @@ def compare(left: pa.Table, right: pa.Table) -> pa.Table:
     n_d = len(r_districts.texts) + 1  # the last: none
     r_district = np.where(r_district < 0, n_d - 1, r_district)
     r_id, r_n = right["r"].to_numpy(), right["n"].to_numpy().astype(float)
-    r_pop, r_lon, r_lat = (_numbers(right[c]) for c in ("population", "lon", "lat"))
-    r_cos = np.cos(np.radians(r_lat))
+    several = bool((r_n != 1).any())
+    r_log, r_lon, r_lat = (_numbers(right[c]) for c in ("population", "lon", "lat"))
+    r_cos = np.cos(np.radians(r_lat)) * 111.19
     l_sold, l_pop, l_lon, l_lat = (_numbers(left[c]) for c in ("sold_population", "population", "lon", "lat"))
     sold = ~np.isnan(l_sold)
-    l_value, l_near, l_exact, l_off = np.where(sold, l_sold, l_pop), np.where(sold, 0.1, 0.15), np.where(sold, 1e-9, 0.03), np.where(sold, 1, 4)
+    l_near, l_exact, l_off = np.where(sold, 0.1, 0.15), np.where(sold, 1e-9, 0.03), np.where(sold, 1, 4)
+    with np.errstate(all="ignore"):
+        l_log, r_log = np.log(np.where(sold, l_sold, l_pop)), np.log(r_log)  # numbers below 0 say nothing
 
     # keys: of names lead to nodes, of places and populations to records
     at, key = _lists(right["name_keys"].take(pa.array(some)))
@@ -283,14 +288,16 @@ def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if len(known) and n_d > 1:
             table[known, : n_d - 1] = 1 + _district_levels(l_districts, np.repeat(mine[known], n_d - 1), r_districts, np.tile(np.arange(n_d - 1), len(known))).reshape(len(known), -1)
         code = (code + table.reshape(-1)[row[o] * n_d + r_district[r]]) * 7
-        with np.errstate(all="ignore"):
-            ratio = np.abs(np.log(l_value[lo:hi][o] / r_pop[r]))
-        code += np.where(np.isnan(ratio), 0, l_off[lo:hi][o] + (ratio < l_near[lo:hi][o]) + (ratio < l_exact[lo:hi][o]))
+        ratio = np.abs(l_log[lo:hi][o] - r_log[r])
+        code += (l_off[lo:hi][o] + (ratio < l_near[lo:hi][o]) + (ratio < l_exact[lo:hi][o])) * (ratio == ratio)  # noqa: PLR0124
         code *= 5
-        km = np.hypot((l_lon[lo:hi][o] - r_lon[r]) * r_cos[r] * 111.19, (l_lat[lo:hi][o] - r_lat[r]) * 111.19)
-        code += np.where(np.isnan(km), 0, 1 + (km < 12).astype(np.int64) + (km < 4) + (km < 1.2))
+        dx, dy = (l_lon[lo:hi][o] - r_lon[r]) * r_cos[r], (l_lat[lo:hi][o] - r_lat[r]) * 111.19
+        km2 = dx * dx + dy * dy
+        near = np.flatnonzero(km2 < 144)
+        code += km2 == km2  # noqa: PLR0124
+        code[near] += 1 + (km2[near] < 16).astype(np.int64) + (km2[near] < 1.44)
         code += o * _INNER
-        counts = np.bincount(code, weights=r_n[r], minlength=(hi - lo) * _INNER)
+        counts = np.bincount(code, weights=r_n[r] if several else None, minlength=(hi - lo) * _INNER)
         least = np.full(len(counts), np.iinfo(np.int64).max)
         np.minimum.at(least, code, r_id[r])
         full = np.flatnonzero(counts)
@@ -307,7 +314,9 @@ def patterns(left: DataFrame, right: DataFrame) -> DataFrame:
     left: l, w (how many records it stands for), ordered, slug_ordered, kind, slug_kind, district, population, sold_population, lon, lat,
     name_keys, keys. right: r, n (records it stands for), name, ordered, kind, district, population, lon, lat, name_keys, keys.
     """
-    parts, blocks = (max(1, -(-df.count() // most)) for df, most in ((left, LEFT), (right, RIGHT)))
+    lefts, blocks = left.count(), max(1, -(-right.count() // RIGHT))
+    # as many parts as the session has partitions, if they have work to do
+    parts = max(1, -(-lefts // LEFT), min(shuffle_partitions(left.sparkSession), -(-lefts // SOME)))
     # records of one name share a block, so that it is compared once; a name of very many records, or none, is dealt out
     hot = right.groupBy("name").agg(F.count("*").alias("c")).where(F.col("c") > RIGHT // 10).select(F.col("name").alias("hot"), F.ceil(F.col("c") / (RIGHT // 10)).alias("c"))
     dealt = right.join(F.broadcast(hot), F.col("name").eqNullSafe(F.col("hot")), "left")
@@ -315,8 +324,8 @@ def patterns(left: DataFrame, right: DataFrame) -> DataFrame:
     ls = left.withColumn("part", F.pmod(F.xxhash64("l"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rs = dealt.withColumn("block", block).drop("hot", "c").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     cells = parts * blocks
-    # a partition for each cell: AQE, going by bytes, would put them together
-    placed = [df.withColumn("cell", F.col("part") * blocks + F.col("block")).drop("part", "block").repartition(cells, "cell") for df in (ls, rs)]
+    # a partition for each cell: hashing would put several into one, and AQE, going by bytes, too
+    placed = [df.withColumn("cell", F.col("part") * blocks + F.col("block")).drop("part", "block").repartitionById(cells, "cell") for df in (ls, rs)]
     return placed[0].groupBy("cell").cogroup(placed[1].groupBy("cell")).applyInArrow(compare, PATTERNS)
 
 

@@ -45,7 +45,9 @@ def _core(c: Column) -> Column:
 def page_records(spark: SparkSession, d: str) -> DataFrame:
     """One record of each page: both its names (heading and address), district, populations and place."""
     pages = table(spark, d, "suburb_page").withColumn("url", url_form(F.col("source_url")))
-    market = table(spark, d, "market_snapshot").where("suburb_id is null and population > 0").groupBy(url_form(F.col("source_url")).alias("url")).agg(F.mode("population", True).alias("sold_population"))
+    # the most frequent population of an address, the smallest of several; addresses are brought to one form once for each spelling
+    market = table(spark, d, "market_snapshot").where("suburb_id is null and population > 0").groupBy("source_url", "population").agg(F.count("*").alias("n"))
+    market = market.groupBy(url_form(F.col("source_url")).alias("url"), "population").agg(F.sum("n").alias("n")).groupBy("url").agg(F.max(F.struct("n", (-F.col("population")).alias("less"))).alias("b")).select("url", (-F.col("b.less")).alias("sold_population"))
     slug = F.regexp_replace(F.regexp_extract("url", "([^/]+)$", 1), "(-[0-9]+)+$", "")
     slug = F.when(~slug.rlike("^[0-9]*$"), slug)
     rows = pages.join(market, "url", "left").where("page_id is not null")
@@ -69,7 +71,7 @@ def suburb_records(spark: SparkSession, d: str) -> DataFrame:
 
 def _keys(cut) -> Column:
     """cut() of the core of each of a record's names."""
-    return F.array(*[F.when(F.length(_core(F.col(c))) > 3, cut(_core(F.col(c)))) for c in ("name", "slug")])
+    return F.array(*[F.when(F.length(c) > 3, cut(F.col(c))) for c in ("core", "slug_core")])
 
 
 def _kind(c: Column) -> Column:
@@ -102,11 +104,11 @@ def page_patterns(pages: DataFrame, suburbs: DataFrame) -> DataFrame:
 
     def once(df: DataFrame, key: Column, name: str, count: str) -> DataFrame:
         rest = [c for c in df.columns if c != "id"]
-        rows = df.groupBy(*rest).agg(key.alias(name), F.count("*").alias(count))
+        rows = df.groupBy(*rest).agg(key.alias(name), F.count("*").alias(count)).withColumns({"core": _core(F.col("name")), "slug_core": _core(F.col("slug"))})
         return checkpointed(rows.withColumns({
             "ordered": _ordered(F.col("name")), "slug_ordered": _ordered(F.col("slug")), "kind": _kind(F.col("name")), "slug_kind": _kind(F.col("slug")),
             "name_keys": _hashed(*[_keys(cut) for cut in cuts]), "keys": _hashed(pops),
-        }))
+        }).drop("core", "slug_core"))
 
     left = once(pages.withColumn("alike", _alike(pages)), F.first("alike"), "l", "w").drop("alike", "name", "slug")
     right = once(suburbs, F.min("id").cast("long"), "r", "n").drop("slug", "slug_ordered", "slug_kind", "sold_population")
