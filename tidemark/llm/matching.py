@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.session import shuffle_partitions
 
 #: Records of the left and of the right in one task at most, of the left so that a task is worth its start; pairs, and counters of patterns, held at a time.
-LEFT, RIGHT, SOME, AT_ONCE = 32_000, 250_000, 4_000, 1_000_000
+LEFT, RIGHT, SOME, AT_ONCE = 32_000, 250_000, 4_000, 500_000
 
 #: The attributes in the order of their levels in a pattern's code, with their numbers of levels.
 LEVELS = {"name": 5, "kind": 3, "district": 4, "sold": 3, "population": 3, "place": 4}
